@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from weftline.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from weftline.llm.mixing import OP10_SQL, op10_mix_sources
+from weftline.llm.packing import op7_packing
+from weftline.llm.token_shards import op6_token_shards
 
 QUERIES = {
+    "op6_token_shards": op6_token_shards,
+    "op7_packing": op7_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
