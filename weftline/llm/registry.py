@@ -6,15 +6,20 @@ from weftline.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from weftline.llm.mixing import OP10_SQL, op10_mix_sources
 from weftline.llm.packing import op7_packing
 from weftline.llm.token_shards import op6_token_shards
+from weftline.llm.topk_search import OP3_SQL, op3_topk_search
+from weftline.llm.web_archive import op8_web_archive
 
 QUERIES = {
+    "op3_topk_search": op3_topk_search,
     "op6_token_shards": op6_token_shards,
     "op7_packing": op7_packing,
+    "op8_web_archive": op8_web_archive,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op3_topk_search": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_mix_sources": OP10_SQL,
 }
