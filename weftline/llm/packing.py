@@ -125,14 +125,15 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         docs, ids, held = [], [], 0
         for b in batches:
-            flat, begins = enc.encode_batch(b.column(1), end_id)
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                docs.append(doc)
-                ids.append(flat[begins[i] : begins[i + 1]])
-                held += len(ids[-1])
-                if len(docs) >= GROUP_DOCS or held >= GROUP_IDS:
-                    yield group(docs, ids)
-                    docs, ids, held = [], [], 0
+            names = iter(b.column(0).to_pylist())
+            for flat, begins in enc.encode_batch(b.column(1), end_id):
+                for i in range(len(begins) - 1):
+                    docs.append(next(names))
+                    ids.append(flat[begins[i] : begins[i + 1]])
+                    held += len(ids[-1])
+                    if len(docs) >= GROUP_DOCS or held >= GROUP_IDS:
+                        yield group(docs, ids)
+                        docs, ids, held = [], [], 0
         if docs:
             yield group(docs, ids)
 

@@ -6,6 +6,7 @@ import json
 import os
 from array import array
 
+_RUN = 1 << 22
 _LOADED: dict[str, Encoder] = {}
 #: A blank before white space or the end, where a text can't simply be split at blanks (RE2; white space as fixed values).
 _ODD_SPACE = r" (?:[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
@@ -51,7 +52,7 @@ class Encoder:
     as many, of pieces and of their parts. A tokenizer of another kind encodes each text in one go.
     """
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -87,12 +88,24 @@ class Encoder:
         return self._text(text) if self._piecewise else self._whole(text)
 
     def encode_batch(self, texts, end_id: int):
-        """(ids of all texts end to end, each text's ids followed by end_id; where each text begins, and the end), of an Arrow array of strings; null counts as empty."""
+        """Yield, for runs of texts of about _RUN bytes (a longer text is a run of its own), (ids of all texts end to end, each text's ids followed by end_id; where each text begins, and the end), of an Arrow array of strings; null counts as empty."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        runs = np.cumsum(np.asarray(pc.binary_length(texts))) // _RUN
+        cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield self._encode_run(texts[a:b], end_id)
+                self._inner, self._parts = self._inner.renewed(self._most), self._parts.renewed(self._most)
+
+    def _encode_run(self, texts, end_id: int):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         odd = pc.match_substring_regex(texts, _ODD_SPACE) if self._piecewise else pa.array([True] * len(texts), pa.bool_())
         pieces = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         begins = np.asarray(pieces.offsets)
@@ -112,7 +125,6 @@ class Encoder:
         flat = table[np.repeat(starts[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         closes = ends[np.append(heads[1:], len(which)).astype(np.int64) - 1] if len(heads) else np.zeros(0, np.int64)
         flat = np.insert(flat, closes, np.uint32(end_id))
-        self._inner, self._parts = self._inner.renewed(self._most), self._parts.renewed(self._most)
         return flat, np.concatenate([[0], closes + np.arange(1, len(closes) + 1)]).astype(np.int64)
 
     def _parts_of(self, text: str) -> bytes:

@@ -187,10 +187,11 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
 
         def encoded():
             for b in batches:
-                flat, begins = enc.encode_batch(b.column(1), end_id)
-                data, begins = flat.astype(f"<u{width}").tobytes(), (begins * width).tolist()
-                for i, doc in enumerate(b.column(0).to_pylist()):
-                    yield key_of(doc), data[begins[i] : begins[i + 1]]
+                docs = iter(b.column(0).to_pylist())
+                for flat, begins in enc.encode_batch(b.column(1), end_id):
+                    data, begins = flat.astype(f"<u{width}").tobytes(), (begins * width).tolist()
+                    for i in range(len(begins) - 1):
+                        yield key_of(next(docs)), data[begins[i] : begins[i + 1]]
 
         entries = encoded()
         path = f"{folder}/ids-{shard:06d}.sst"
