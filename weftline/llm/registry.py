@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from weftline.llm.language_id import op5_language_id
+from weftline.llm.lm_score import op4_lm_score
 from weftline.llm.mixing import OP10_SQL, op10_mix_sources
 from weftline.llm.packing import op7_packing
 from weftline.llm.quality import op2_quality
@@ -14,6 +15,7 @@ from weftline.llm.web_archive import op8_web_archive
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_topk_search": op3_topk_search,
+    "op4_lm_score": op4_lm_score,
     "op5_language_id": op5_language_id,
     "op6_token_shards": op6_token_shards,
     "op7_packing": op7_packing,
