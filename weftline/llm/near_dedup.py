@@ -130,90 +130,122 @@ def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.sortWithinPartitions("a_file", "a_at").mapInArrow(work, f"a {kind}, b {kind}, linked boolean")
 
 
-class _Forest:
-    """Union-find over a bucket's components."""
+class _Sets:
+    """Sets read from their files, kept while they take less than most bytes."""
+
+    def __init__(self, most: int = 64 << 20):
+        self._files, self._kept, self._held, self._most = {}, {}, 0, most
+
+    def load(self, path: str, at: int, n: int) -> np.ndarray:
+        found = self._kept.get((path, at))
+        if found is None:
+            if path not in self._files:
+                if len(self._files) > 200:
+                    self._files.clear()
+                system, own = open_shared(path)
+                self._files[path] = system.open_input_file(own)
+            if self._held > self._most:
+                self._kept, self._held = {}, 0
+            found = self._kept[path, at] = np.frombuffer(self._files[path].read_at(8 * n, at), np.uint64)
+            self._held += 8 * n
+        return found
+
 
-    def __init__(self):
-        self.up: dict = {}
+class _Union:
+    """Union-find over small integers."""
 
-    def root(self, x):
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
+    def __init__(self, names: np.ndarray):
+        self.name = names.copy()
 
-    def join(self, x, y) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[x] = y
-        return x != y
+    def join(self, i: int, j: int) -> None:
+        a, b = self.name[i], self.name[j]
+        self.name[self.name == b] = a
 
 
-def bucket_pairs(rep: list, label: list, n: np.ndarray, marks: np.ndarray, percent: int, forest: bool):
-    """Pairs of a bucket's members in different components whose sizes and sketches allow a link.
+def linked_in_bucket(rows: dict, load, percent: int) -> list[tuple]:
+    """Links between different components of a bucket, as many as join them; rows: rep, label, n, band, bands, marks, file, at.
 
-    forest: of these, a spanning forest of the components that prefers the highest agreement.
+    Members are compared by sizes and sketches, and what may be a link is checked on the whole sets, unless the two are
+    joined by then. A pair is left to the bucket of the first band that it shares. Members that agree most with a few
+    others come first, so that the middle of a group of copies joins it early.
     """
-    found, names = [], np.unique(np.array(label), return_inverse=True)[1]
-    for i in range(len(rep) - 1):
-        other = i + 1 + np.flatnonzero(names[i + 1 :] != names[i])
+    rep, n, bands, marks, band = rows["rep"], rows["n"], rows["bands"], rows["marks"], rows["band"]
+    m, out = len(rep), []
+    trees = _Union(np.unique(np.array(rows["label"]), return_inverse=True)[1])
+    if (trees.name == trees.name[0]).all():
+        return out
+    some = np.linspace(0, m - 1, min(m, 64)).astype(int)
+    order = np.argsort(-sum((marks == marks[i]).sum(1) for i in some), kind="stable")
+    done = np.zeros(m, bool)
+    for i in order.tolist():
+        done[i] = True
+        other = np.flatnonzero(~done & (trees.name != trees.name[i]))
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-        for at in range(0, len(other), 1 << 16):
-            part = other[at : at + (1 << 16)]
-            agree = (marks[part] == marks[i]).sum(1)
-            good = agree >= LEAST_AGREEING
-            found += [(int(x), i, int(j)) for x, j in zip(agree[good], part[good], strict=True)]
-        if forest and len(found) > 200_000:
-            found = _spanning(found, names)
-    if forest:
-        found = _spanning(found, names)
-    return [(min(rep[i], rep[j]), max(rep[i], rep[j])) for _, i, j in found]
-
-
-def _spanning(found: list, names: np.ndarray) -> list:
-    trees = _Forest()
-    return [x for x in sorted(found, key=lambda x: (-x[0], x[1], x[2])) if trees.join(int(names[x[1]]), int(names[x[2]]))]
+        if not len(other):
+            continue
+        other = other[(marks[other] == marks[i]).sum(1) >= LEAST_AGREEING]
+        if band:
+            other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
+        if not len(other):
+            continue
+        mine = load(rows["file"][i], rows["at"][i], int(n[i]))
+        for j in other.tolist():
+            if trees.name[i] == trees.name[j]:
+                continue
+            theirs = load(rows["file"][j], rows["at"][j], int(n[j]))
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = int((mine[at] == theirs).sum())
+            if 100 * common >= percent * (int(n[i]) + int(n[j]) - common):
+                trees.join(i, j)
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return out
 
 
-def candidate_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of members (key, rep, label, n, marks); see bucket_pairs. A task holds one bucket at a time."""
+def bucket_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the buckets of members; see linked_in_bucket. A task holds one bucket's sketches at a time."""
     kind = dict(members.dtypes)["rep"]
+    names = ["key", "band", "rep", "label", "n", "bands", "marks", "file", "at"]
 
     def work(batches):
         import pyarrow as pa
 
-        def pairs(rows: list):
-            key, rep, label, n, marks = zip(*rows, strict=True)
-            return bucket_pairs(list(rep), list(label), np.array(n), np.frombuffer(b"".join(marks), np.uint8).reshape(len(rep), -1), percent, forest)
+        sets = _Sets()
+
+        def links(held: list) -> list[tuple]:
+            if len(held) < 2:
+                return []
+            key, band, rep, label, n, bands, marks, file, at = zip(*held, strict=True)
+            return linked_in_bucket({"rep": rep, "label": label, "n": np.array(n), "band": band[0], "bands": np.array(bands), "marks": np.frombuffer(b"".join(marks), np.uint8).reshape(len(rep), -1), "file": file, "at": at}, sets.load, percent)
 
         held: list = []
         for b in batches:
             out: list = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[0][0] != row[0]:
-                    out += pairs(held)
+                    out += links(held)
                     held = []
                 held.append(row)
             if out:
                 yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
-        if held and (out := pairs(held)):
+        if held and (out := links(held)):
             yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
 
-    rows = members.select("key", "rep", "label", "n", "marks").repartition("key").sortWithinPartitions("key", "rep")
-    return rows.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+    rows = members.select(*names).repartition("key").sortWithinPartitions("key", "rep")
+    return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
-    """(key, rep, label, n, marks) of the buckets that hold several components; too large ones split by further bands."""
+def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with what linked_in_bucket needs; too large ones split by further bands."""
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     for depth in range(4):
         several = rows.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_m")).filter("_low < _high")
-        rows = scratch.table(rows.join(several.select("key", "_m"), "key"), f"open-{turn}-{depth}")
+        rows = scratch.table(rows.join(several.select("key", "_m"), "key"), f"open-{depth}")
         large = rows.filter(F.col("_m") > MOST_IN_BUCKET)
         if depth == 3 or large.isEmpty():
             break
-        finer = large.join(reps.select("rep", "bands"), "rep").select(F.explode("bands").alias("_band"), "key", "rep", "label").filter("_band <> key")
-        rows = rows.filter(F.col("_m") <= MOST_IN_BUCKET).drop("_m").select("key", "rep", "label").unionAll(finer.select(F.xxhash64("key", "_band").alias("key"), "rep", "label"))
-    return rows.drop("_m").join(reps.select("rep", "n", "marks"), "rep")
+        finer = large.join(reps.select("rep", "bands"), "rep").select(F.explode("bands").alias("_next"), "key", "band", "rep", "label").filter("_next <> key")
+        rows = rows.filter(F.col("_m") <= MOST_IN_BUCKET).select("key", "band", "rep", "label").unionAll(finer.select(F.xxhash64("key", "_next").alias("key"), "band", "rep", "label"))
+    return rows.drop("_m").join(reps, "rep")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -226,8 +258,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts of equal sets are one node. First each node is checked against the smallest one of its buckets, which joins
     large groups of copies by as many checks as they have members. Then only members of different components of a bucket
-    are compared, by their sketches; a spanning forest of what may be linked is checked, over and over until it gives no
-    more links, and then all that is left. So no bucket's pairs are listed unless they may be links between components.
+    are compared, by their sketches, and checked where they lie; what leaves a bucket is the links that join components,
+    fewer than it has members.
 
     A null text counts as empty; texts without words are linked with nothing. A row with a null id is linked with
     nothing, its component_id is null and it is kept. Rows that repeat an id have the component of all of them. Whole
@@ -243,32 +275,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.filter("n > 0").join(same, "id").select("id", "digest").join(groups.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = groups.groupBy("rep").agg(F.first(F.struct("n", "bands", "marks", "file", "at")).alias("s")).select("rep", "s.*") if not same.isEmpty() else groups.drop("digest", "copies")
 
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     multi = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).filter("m > 1")
     members = scratch.table(keys.join(multi.select("key", "centre"), "key"), "members")
     stars = members.filter("rep <> centre").groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a"))
-    checked = [scratch.table(verify(stars.select("a", "b"), reps, percent), "checked-0")]
-    members, forest = members.select("key", "rep"), True
-    while True:
-        links = checked[0]
-        for more in checked[1:]:
-            links = links.unionAll(more)
-        linked = links.filter("linked").select("a", "b").unionAll(shared)
-        labels = components(scratch, linked, f"labels-{len(checked)}")
-        if not forest:
-            break
-        turn = len(checked)
-        rows = scratch.table(_open_buckets(scratch, members, labels, reps, turn), f"rows-{turn}")
-        pairs = scratch.table(candidate_pairs(rows, percent, True).join(links.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{turn}")
-        new = scratch.table(verify(pairs, reps, percent), f"checked-{turn}")
-        checked.append(new)
-        if new.filter("linked").isEmpty():
-            pairs = candidate_pairs(rows, percent, False).join(links.unionAll(new).select("a", "b"), ["a", "b"], "left_anti")
-            checked.append(scratch.table(verify(scratch.table(pairs, f"rest-{turn}"), reps, percent), f"checked-{turn}-rest"))
-            forest = False
+    stars = scratch.table(verify(stars.select("a", "b"), reps, percent).filter("linked").select("a", "b").unionAll(shared), "stars")
+    rows = _open_buckets(scratch, members.select("key", "band", "rep"), components(scratch, stars, "star-labels"), reps)
+    links = scratch.table(bucket_links(rows, percent).distinct().unionAll(stars), "links")
+    labels = components(scratch, links, "labels")
     groups = groups.select("digest", F.col("rep").alias("node"), F.col("copies").alias("n")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"), "n")
     rows = docs.select("id", F.col("n").alias("size"), "digest", F.xxhash64("id", "at").alias("_salt"))
     out = attach_groups(rows, scratch.table(groups, "components"), ["digest"], "_salt", docs.count())
+    scratch.drop("sets", "groups", "members", "stars", "links", *[f"open-{i}" for i in range(4)])
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
