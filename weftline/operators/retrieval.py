@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weftline.functions import text as T
 from weftline.operators.ranking import first_rows
@@ -189,7 +190,7 @@ def distinct_text_batches(df: DataFrame, columns: Sequence[str], size: int) -> D
 
     Greedy over a partition's rows in their order: a row goes to the first open batch that has none of its values.
     """
-    fields = df.schema.add("batch", "long")
+    fields = StructType([*df.schema.fields, StructField("batch", LongType())])
 
     def work(frames):
         import pandas as pd

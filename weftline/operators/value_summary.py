@@ -1,0 +1,96 @@
+"""Two summaries of an entry's values, one for the query side and one for the catalog side, drawn by hashes so that reruns agree."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions.text import GENERIC_VALUES
+
+SCHEMA = "cde_publicid string, cde_version string, n int, n_query int, n_catalog int, query_summary string, catalog_summary string, status string"
+#: Shares of generic values in the two sides' draws, and how often a draw that gives the same set on both sides is repeated.
+QUERY_SHARE, GENERIC_SHARE, REDRAWS = 0.5, 0.2, 3
+
+
+def _hash(seed: str, key: str) -> str:
+    return hashlib.sha1(f"{seed}::{key}".encode()).hexdigest()
+
+
+def half_even(x: float) -> int:
+    """To the nearest integer, halves to the even one."""
+    return round(x)
+
+
+def side_size(n: int, seed: str) -> int:
+    """Half of n, between 1 and n, from 4 on one more or less by the seed's hash."""
+    jitter = int(_hash(seed, "size")[:8], 16) % 3 - 1 if n >= 4 else 0
+    return max(1, min(n, half_even(QUERY_SHARE * n) + jitter))
+
+
+def draw(items: Sequence[tuple], k: int, seed: str) -> list[tuple]:
+    """k items by hash order, back in their own order."""
+    chosen = sorted(range(len(items)), key=lambda i: (_hash(seed, "|".join(map(str, items[i]))), i))[:k]
+    return [items[i] for i in sorted(chosen)]
+
+
+def draw_side(items: Sequence[tuple], k: int, seed: str) -> list[tuple]:
+    """k items, generic ones up to their share unless there aren't enough others."""
+    generic = [x for x in items if x[1].lower() in GENERIC_VALUES]
+    other = [x for x in items if x[1].lower() not in GENERIC_VALUES]
+    few = min(len(generic), max(half_even(GENERIC_SHARE * k), k - len(other)))
+    chosen = set(draw(generic, few, seed + "|g") + draw(other, k - few, seed + "|o"))
+    return [x for x in items if x in chosen]
+
+
+def summarise(pool: list[tuple[str, str]], name: str, salt: str) -> tuple[int, int, int, str, str, str]:
+    """(n, sizes and texts of both sides, status) of a pool of (value, meaning).
+
+    One value stands on the catalog side only; two or three on both as they are; more are drawn. If both draws give the
+    same set, or the query's lies within the catalog's, the query's is drawn again; then it is given up.
+    """
+    n = len(pool)
+    if not n:
+        return 0, 0, 0, "", "", "empty"
+    catalog = draw_side(pool, max(side_size(n, f"{salt}|{name}|c"), min(n, 3)), f"{salt}|{name}|c")
+    if n == 1:
+        return n, 0, 1, "", _text(catalog), "single"
+    if n <= 3:
+        return n, n, n, _text(pool), _text(pool), "small"
+    for turn in range(REDRAWS + 1):
+        seed = f"{salt}|{name}|q{turn}"
+        query = draw_side(pool, side_size(n, seed), seed)
+        if not set(query) <= set(catalog):
+            return n, len(query), len(catalog), _text(query), _text(catalog), "drawn"
+    return n, 0, len(catalog), "", _text(catalog), "dropped"
+
+
+def _text(items: Sequence[tuple]) -> str:
+    return f"PV_TYPE: ENUM(n={len(items)}); PV: " + " | ".join(x[1] or x[0] for x in items) if items else ""
+
+
+def value_summaries(values: DataFrame, salt: str = "v1") -> DataFrame:
+    """Both summaries of each (cde_publicid, cde_version); SCHEMA's columns.
+
+    Values are deduplicated by (value, meaning) and ordered by numeric display order, then text, before the draw, so a
+    group handed to Python is one entry's distinct values.
+    """
+    value, meaning = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("valid_value", "value_meaning"))
+    rank = F.col("meaning_concept_display_order").try_cast("double") if "meaning_concept_display_order" in values.columns else F.lit(None).cast("double")
+    rows = values.select("cde_publicid", "cde_version", value.alias("v"), meaning.alias("m"), F.coalesce(rank, F.lit(float("inf"))).alias("r")).filter("v <> '' OR m <> ''")
+    rows = rows.groupBy("cde_publicid", "cde_version", "v", "m").agg(F.min("r").alias("r"))
+    pools = rows.groupBy("cde_publicid", "cde_version").agg(F.array_sort(F.collect_list(F.struct("r", "v", "m"))).alias("pool"))
+
+    def work(batches) -> Iterator:
+        import pyarrow as pa
+
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        for b in batches:
+            rows = [(r["cde_publicid"], r["cde_version"], *summarise([(x["v"], x["m"]) for x in r["pool"]], f"{r['cde_publicid']}::{r['cde_version']}", salt)) for r in b.to_pylist()]
+            if rows:
+                types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return pools.mapInArrow(work, SCHEMA)
