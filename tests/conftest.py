@@ -8,10 +8,11 @@ from pyspark.sql import SparkSession
 def spark():
     session = (
         SparkSession.builder.master("local[2]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "2g")
+        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than the small tables do
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
