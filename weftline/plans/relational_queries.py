@@ -104,10 +104,13 @@ def group_limit(t: Tables) -> DataFrame:
     return ranking.group_limit(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", 500)
 
 
-@query("f20_id_pair_names", "SELECT c_custkey, regexp_matches(n, '^[0-9]+(v[0-9.]+)?$') AS bare FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey || 'v1.0' ELSE c_name END AS n FROM customer)")
+@query("f20_id_pair_names", r"SELECT c_custkey, regexp_matches(n, '^[0-9]+v[0-9]+(\.[0-9]+)+(:[0-9]+v[0-9]+(\.[0-9]+)+)+$') AS pair FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey || 'v1.0:' || c_nationkey || 'v2.1' WHEN 1 THEN c_custkey || 'v1.0' ELSE c_name END AS n FROM customer)")
 def id_pairs(t: Tables) -> DataFrame:
-    n = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_custkey", F.lit("v1.0"))).otherwise(F.col("c_name"))
-    return t.customer.select("c_custkey", n.rlike("^[0-9]+(v[0-9.]+)?$").alias("bare"))
+    from weftline.functions.text import is_id_pair
+
+    k = F.col("c_custkey")
+    n = F.when(k % 3 == 0, F.concat(k, F.lit("v1.0:"), F.col("c_nationkey"), F.lit("v2.1"))).when(k % 3 == 1, F.concat(k, F.lit("v1.0"))).otherwise(F.col("c_name"))
+    return t.customer.select("c_custkey", is_id_pair(n).alias("pair"))
 
 
 @query("f22_tie_margin", "SELECT p_partkey FROM (SELECT p_partkey, max(p_retailprice) OVER (PARTITION BY p_brand) - p_retailprice AS d FROM part) WHERE d <= 5.0 + 1e-12")

@@ -46,7 +46,7 @@ def tokens(t: Tables) -> DataFrame:
     "t6_t7_t8_keys",
     r"""
 SELECT p_partkey, trim(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g')) AS leakage,
-  upper(translate(n, '!"#$%&''()*-/:;<=>@_', '')) AS term, regexp_replace(upper(n), '[^ A-Z0-9]', '', 'g') AS words,
+  upper(translate(n, '();-_|:$[]''"%*&#@{}', '')) AS term, regexp_replace(upper(n), '[^ A-Z0-9]', '', 'g') AS words,
   regexp_replace(upper(n), '[^A-Z0-9]', '', 'g') AS joined, trim(regexp_replace(upper(n), '[^A-Z0-9]+', ' ', 'g')) AS spaced
 FROM (SELECT p_partkey, p_name || ' (' || p_brand || '), ' || p_type || '?' AS n FROM part)
 """,
@@ -75,7 +75,7 @@ def strip_block(t: Tables) -> DataFrame:
     """
 SELECT p_partkey, 'ENUM' AS kind, 3 AS declared, [p_name, CAST(p_size AS VARCHAR), 'Not  Reported', 'C' || p_partkey] AS raw,
   [p_name, CAST(p_size AS VARCHAR), 'not reported', 'c' || p_partkey] AS norm, true AS well_formed, 4 AS n_values, 1 AS n_generic,
-  CASE WHEN p_partkey >= 100 THEN 2 ELSE 1 END + CASE WHEN p_partkey < 100 THEN 1 ELSE 0 END AS n_code, false AS declared_matches
+  CASE WHEN p_partkey >= 10 THEN 2 ELSE 1 END AS n_code, false AS declared_matches
 FROM part
 """,
 )
@@ -91,8 +91,8 @@ def value_block(t: Tables) -> DataFrame:
 SELECT event_id, v, n IN ('n/a','na','n.a','not applicable','unknown','unk','not reported','not provided','not specified','unspecified','other','other, specify','none','missing') AS generic,
   regexp_matches(trim(lower(v)), '^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)$') AS number,
   CASE WHEN regexp_matches(trim(lower(v)), '^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)$') THEN TRY_CAST(trim(lower(v)) AS DOUBLE) END AS as_number,
-  NOT contains(n, ' ') AND n <> '' AND (regexp_matches(n, '^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)$') OR regexp_matches(n, '^c[0-9]{3,}$')
-    OR regexp_matches(n, '^[a-z][0-9]{1,3}(\.[0-9]+)?$') OR regexp_matches(n, '^[a-z]{2,6}[0-9]*-?[0-9]{2,}$')) AS code
+  NOT contains(n, ' ') AND n <> '' AND (regexp_matches(n, '^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)$') OR regexp_matches(n, '^c[0-9]{2,7}$')
+    OR regexp_matches(n, '^[a-z][0-9]{2}(\.[0-9]{1,4})?$') OR regexp_matches(n, '^[a-z]{1,4}[-_]?[0-9]{2,7}[a-z0-9]*$')) AS code
 FROM (SELECT event_id, v, trim(regexp_replace(lower(v), '\s+', ' ', 'g'), ' ".,;:''' || chr(9) || chr(10) || chr(13)) AS n
   FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'N.A.' WHEN 2 THEN '.' || (event_id % 97)
     WHEN 3 THEN 'C' || event_id WHEN 4 THEN event_type WHEN 5 THEN 'Other,  specify' ELSE event_type || '-' || event_id END AS v FROM events))
@@ -161,7 +161,7 @@ def value_kind(t: Tables) -> DataFrame:
 SELECT doc_id, CAST(len(x) AS INTEGER) AS n_chars, CAST(len(regexp_extract_all(x, '[A-Za-z0-9]+')) AS INTEGER) AS n_words,
   coalesce(len(regexp_replace(x, '[^A-Z]', '', 'g')) / nullif(len(regexp_replace(x, '[^A-Za-z]', '', 'g')), 0), 0) AS upper_share,
   coalesce(len(regexp_replace(x, '[^0-9]', '', 'g')) / nullif(len(x), 0), 0) AS digit_share,
-  CAST(len(x) - len(replace(x, '|', '')) AS INTEGER) AS n_bars, regexp_matches(source, '^[A-Za-z][A-Za-z0-9_]*$') AND (contains(source, '_') OR (source <> lower(source) AND source <> upper(source))) AS code_name
+  CAST(len(x) - len(replace(x, '|', '')) AS INTEGER) AS n_bars, regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9_]*$') AND (contains(source, '_') OR (source <> lower(source) AND source <> upper(source))) AS code_name
 FROM (SELECT doc_id, coalesce(text, '') AS x, coalesce(source, '') AS source FROM documents)
 """,
 )
