@@ -56,6 +56,7 @@ class Plain:
 def test_scores(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(lm_score, "_RUN", 50)
+        monkeypatch.setattr(lm_score, "_COUNT_RUN", 120)
         monkeypatch.setattr(lm_score, "_FILE", 8)
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["The", "of", "é", "A|B", "x y", "lone%d" % rng.randint(0, 300)]) for _ in range(rng.randint(0, 40))) for _ in range(120)]

@@ -13,12 +13,12 @@ from weftline.llm.word_hashes import WordHashes, combine
 
 #: A word has no blank, so these are no word's hashes.
 START, END = (np.uint64(int.from_bytes(x, "big")) for x in (b"\x01 start\x01", b"\x02 end\x02\x02\x02"))
-#: Tokens that are worked on at once; entries of a file of the automaton.
-_RUN, _FILE = 1 << 20, 1 << 21
+#: Tokens that are scored and counted at once; entries of a file of the automaton.
+_RUN, _COUNT_RUN, _FILE = 1 << 20, 1 << 22, 1 << 21
 
 
 def _runs(batches, texts: int, hashes: WordHashes):
-    """(rows of a batch, token hashes of each: start, words, end) in runs of about _RUN tokens."""
+    """(rows of a batch, token hashes of each: start, words, end) in runs of at most about _RUN tokens."""
     for b in batches:
         held, size, begin = [], 0, 0
         for i, text in enumerate(b.column(texts)):
@@ -38,14 +38,24 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
-        for _, tokens in _runs(batches, 0, hashes):
+        def counted(tokens: np.ndarray):
             one, n = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(one), pa.int64()), pa.array(one.view(np.int64)), pa.array(n)], names=["state", "arc", "n"])
             inner = tokens[:-1] != END
             first, pair = tokens[:-1][inner], combine(tokens[:-1][inner], tokens[1:][inner])
             pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(pair.view(np.int64)), pa.array(n)], names=["state", "arc", "n"])
+            order = np.argsort(first[at], kind="stable")  # equal states side by side are written in less space
+            yield pa.RecordBatch.from_arrays([pa.array(first[at][order].view(np.int64)), pa.array(pair[order].view(np.int64)), pa.array(n[order])], names=["state", "arc", "n"])
+
+        held, size = [], 0
+        for _, tokens in _runs(batches, 0, WordHashes()):
+            held.append(tokens)
+            size += len(tokens)
+            if size >= _COUNT_RUN:
+                yield from counted(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield from counted(np.concatenate(held))
 
     parts = texts.mapInArrow(count, "state long, arc long, n long")
     # the parts have few keys in common, so they are summed after the exchange only
