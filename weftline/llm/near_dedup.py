@@ -93,43 +93,6 @@ def sketch_documents(df: DataFrame, folder: str, size: int) -> DataFrame:
     return df.mapInArrow(work, f"id {kind}, n long, digest binary, bands array<bigint>, marks binary, file string, at long")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b): 100 * intersection >= percent * union of the whole sets, read from their files."""
-    place = ["n", "file", "at"]
-    for side in "ab":
-        pairs = pairs.join(reps.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in place]), side)
-    kind = dict(pairs.dtypes)["a"]
-
-    def work(batches):
-        import pyarrow as pa
-
-        files: dict = {}
-
-        def load(path: str, at: int, n: int) -> np.ndarray:
-            if path not in files:
-                if len(files) > 200:
-                    files.clear()
-                system, own = open_shared(path)
-                files[path] = system.open_input_file(own)
-            return np.frombuffer(files[path].read_at(8 * n, at), np.uint64)
-
-        for b in batches:
-            rows, last, out = b.to_pydict(), None, []
-            for i in range(b.num_rows):
-                n, m = rows["a_n"][i], rows["b_n"][i]
-                if 100 * min(n, m) < percent * max(n, m):
-                    out.append(False)
-                    continue
-                if last is None or last[0] != rows["a"][i]:
-                    last = rows["a"][i], load(rows["a_file"][i], rows["a_at"][i], n)
-                other = load(rows["b_file"][i], rows["b_at"][i], m)
-                common = n + m - len(np.unique(np.concatenate([last[1], other])))
-                out.append(100 * common >= percent * (n + m - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
-
-    return pairs.sortWithinPartitions("a_file", "a_at").mapInArrow(work, f"a {kind}, b {kind}, linked boolean")
-
-
 class _Sets:
     """Sets read from their files, kept while they take less than most bytes."""
 
@@ -151,6 +114,36 @@ class _Sets:
         return found
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of sorted arrays without repeats."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common = int((a[at] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (a, b), checked on the whole sets, which are read from their files."""
+    place = ["n", "file", "at"]
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in place]), side)
+    kind = dict(pairs.dtypes)["a"]
+
+    def work(batches):
+        import pyarrow as pa
+
+        sets = _Sets()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                n, m = r["a_n"], r["b_n"]
+                if 100 * min(n, m) >= percent * max(n, m) and linked(sets.load(r["a_file"], r["a_at"], n), sets.load(r["b_file"], r["b_at"], m), percent):
+                    out.append((r["a"], r["b"]))
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
+
+    return pairs.sortWithinPartitions("a_file", "a_at").mapInArrow(work, f"a {kind}, b {kind}")
+
+
 class _Union:
     """Union-find over small integers."""
 
@@ -192,10 +185,7 @@ def linked_in_bucket(rows: dict, load, percent: int) -> list[tuple]:
         for j in other.tolist():
             if trees.name[i] == trees.name[j]:
                 continue
-            theirs = load(rows["file"][j], rows["at"][j], int(n[j]))
-            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-            common = int((mine[at] == theirs).sum())
-            if 100 * common >= percent * (int(n[i]) + int(n[j]) - common):
+            if linked(mine, load(rows["file"][j], rows["at"][j], int(n[j])), percent):
                 trees.join(i, j)
                 out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
     return out
@@ -279,7 +269,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     multi = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).filter("m > 1")
     members = scratch.table(keys.join(multi.select("key", "centre"), "key"), "members")
     stars = members.filter("rep <> centre").groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a"))
-    stars = scratch.table(verify(stars.select("a", "b"), reps, percent).filter("linked").select("a", "b").unionAll(shared), "stars")
+    stars = scratch.table(verify(stars.select("a", "b"), reps, percent).unionAll(shared), "stars")
     rows = _open_buckets(scratch, members.select("key", "band", "rep"), components(scratch, stars, "star-labels"), reps)
     links = scratch.table(bucket_links(rows, percent).distinct().unionAll(stars), "links")
     labels = components(scratch, links, "labels")
