@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from weftline.llm import lm_score
-from weftline.llm.lm_score import score_texts
+from weftline.llm.lm_score import op4_lm_score, score_texts
 
 
 class Plain:
@@ -83,3 +83,14 @@ def test_no_training_and_empty_table(spark):
     row = score_texts(df, df.limit(0)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
     assert score_texts(df.limit(0), df).count() == 0
+
+
+def test_query_has_an_arc_for_pairs_seen_once(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", "rare%d" % rng.randint(0, 500)]) for _ in range(20))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_lm_score(spark, str(tmp_path)).collect()}
+    plain = Plain([t for i, t in rows if not got[i].held_out], least=1)
+    assert 1 in plain.two.values() and any(r.held_out for r in got.values())
+    for i, t in rows:
+        assert got[i].score == pytest.approx(plain.score(t), rel=1e-9)

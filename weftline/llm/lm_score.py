@@ -221,5 +221,5 @@ def score_texts(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc_mod("doc_id", 7) == 2
-    rows = score_texts(docs, docs.filter(~held_out))
+    rows = score_texts(docs, docs.filter(~held_out), least_count=1)
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
