@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import ids, text
 from weftline.operators import dataset, learn, matching, ranking, retrieval, value_summary
+from weftline.plans import QUERIES
 from weftline.sources import catalog_xml, tables
 from weftline.streaming.match_stream import match_stream
 
@@ -183,3 +184,20 @@ def test_stream(spark, tmp_path):
     run = match_stream(stream, lambda b: retrieval.bm25_search(catalog, b, "id", "query_id", "t", "q", 3), lambda out, n: seen.update({n: out.collect()}), f"{tmp_path}/check")
     run.awaitTermination(120)
     assert [r.id for rows in seen.values() for r in rows] == [7]
+
+
+def test_containments_of_any_ids(spark, tmp_path):
+    names = ["red bolt", "red bolt m8", "Red Bolt", "ed", "", None, "x", "xy red", "steel nut"]
+    rows = [(i * 7, n) for i, n in enumerate(names)]
+    a, b = spark.createDataFrame(rows, "q long, a string"), spark.createDataFrame([(i + 1, n) for i, n in rows], "c long, b string")
+    want = []
+    for (q, x), (c, y) in itertools.product(rows, rows):
+        x, y = (x or "").lower(), (y or "").lower()
+        if x and y and x != y and (x in y or y in x):
+            want.append((q, c + 1, len(x) / len(y) if x in y else None, len(y) / len(x) if y in x else None))
+    got = retrieval.containments(a, b, "q", "c", "a", "b").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert any((q - c) % 64 for q, c, *_ in want)
+    spark.createDataFrame([(0, "red bolt", "Brand#1"), (1, "red bolt", "Brand#2")], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r.p_partkey for r in QUERIES["m8_whole_containment"](spark, str(tmp_path)).collect()} == {0, 1}

@@ -120,6 +120,21 @@ def containment_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumns({"contained": F.when(some & F.contains(y, x), F.length(x) / F.length(y)), "containing": F.when(some & F.contains(x, y), F.length(y) / F.length(x))})
 
 
+def containments(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, doc_text: str) -> DataFrame:
+    """(query, key, contained, containing) of every pair whose texts contain one another but aren't equal; see containment_scores."""
+    from weftline.operators.matching import GRAM, term_pairs
+
+    asked = queries.select(F.col(query).alias("_q"), T.exact_key(F.col(query_text), nfkc=False).alias("source")).filter("source <> ''")
+    terms = docs.select(F.col(key).alias("_k"), T.exact_key(F.col(doc_text), nfkc=False).alias("term")).filter("term <> ''")
+    brief = terms.filter(F.length("term") < GRAM).select("term").distinct()  # term_pairs has those only as the longer side
+    texts = asked.select("source").distinct().join(brief, F.contains("source", "term"))
+    short = asked.join(texts, "source").join(terms, "term")
+    columns = ["_q", "_k", "source", "term"]
+    pairs = term_pairs(asked, terms).select(columns).unionAll(short.select(columns)).distinct()
+    scored = containment_scores(pairs, "source", "term").filter("contained IS NOT NULL OR containing IS NOT NULL")
+    return scored.select(F.col("_q").alias(query), F.col("_k").alias(key), "contained", "containing")
+
+
 def fuzzy_candidates(provenance: DataFrame, signals: DataFrame, query: str, cand: str) -> DataFrame:
     """The best row of each pair among hits of the named (rule, field) signals, a few rows."""
     rows = provenance.join(F.broadcast(signals), ["rule", "field"], "left_semi")

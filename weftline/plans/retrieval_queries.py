@@ -127,6 +127,17 @@ def containment(t: Tables) -> DataFrame:
     return retrieval.containment_scores(pairs, "a", "b").select("s_suppkey", "p_partkey", "contained", "containing")
 
 
+@query(
+    "m8_whole_containment",
+    """WITH q AS (SELECT s_suppkey, lower(p_name) AS a FROM supplier JOIN part ON p_partkey = s_suppkey), c AS (SELECT p_partkey, lower(p_name || ' ' || p_brand) AS b FROM part)
+SELECT s_suppkey, p_partkey, CASE WHEN contains(b, a) THEN len(a) / len(b) END AS contained, CASE WHEN contains(a, b) THEN len(b) / len(a) END AS containing FROM q JOIN c ON a <> b AND (contains(a, b) OR contains(b, a))""",
+)
+def whole_containment(t: Tables) -> DataFrame:
+    """All pairs of which one name contains the other, whatever their ids."""
+    asked = t.supplier.join(t.part.select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey").select("s_suppkey", F.col("p_name").alias("name"))
+    return retrieval.containments(asked, _catalog(t), "s_suppkey", "p_partkey", "name", "name")
+
+
 _VECTORS = """v AS (SELECT a.vec_id AS q, b.vec_id AS k, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0),
 vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, k) AS rank FROM v)"""
 
