@@ -84,6 +84,15 @@ def test_hub_that_is_not_the_smallest(spark):
     assert near_duplicates(df.limit(0)).count() == 0 and drop_near(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_both_texts_of_a_repeated_id(spark):
+    one, two = ([f"{x}{i}" for i in range(100)] for x in "pq")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (9, " ".join([*two[:-1], "r"])), (8, " ".join([*one[:-1], "r"])), (7, " ".join([*one[:-1], "s"])), (6, "far from all of these"), (4, "a text of id four"), (4, "another of id four"), (3, "another of id four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates(df, shingle=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4)
+    assert sorted({r.doc_id for r in drop_near(df, shingle=4).collect()}) == [3, 5, 6]
+
+
 def test_sketch_estimates_similarity_and_fills():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 60, 3000):

@@ -258,25 +258,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession, "near")
     texts = df.select(F.col(id_col).alias("_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("_text"))
     docs = scratch.table(sketch_documents(texts, scratch.folder("sets"), shingle), "docs")
-    groups = docs.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "bands", "marks", "file", "at")).alias("s"))
-    groups = scratch.table(groups.select("digest", "rep", "copies", "s.*"), "groups")
-    # an id that several texts share links them
-    same = docs.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 <> d2").select("id")
-    shared = docs.filter("n > 0").join(same, "id").select("id", "digest").join(groups.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = groups.groupBy("rep").agg(F.first(F.struct("n", "bands", "marks", "file", "at")).alias("s")).select("rep", "s.*") if not same.isEmpty() else groups.drop("digest", "copies")
+    groups = docs.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "bands", "marks", "file", "at")).alias("s"))
+    groups = scratch.table(groups.select("digest", "low", "copies", "s.*"), "groups")
+    # an id that several texts share links them; the smallest id names a node only where there is none
+    same = docs.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 <> d2").select("id", "d1")
+    by_digest = not same.isEmpty()
+    groups = groups.withColumn("rep", F.col("digest" if by_digest else "low"))
+    reps = groups.drop("digest", "low", "copies")
 
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     multi = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).filter("m > 1")
     members = scratch.table(keys.join(multi.select("key", "centre"), "key"), "members")
     stars = members.filter("rep <> centre").groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a"))
-    stars = scratch.table(verify(stars.select("a", "b"), reps, percent).unionAll(shared), "stars")
+    stars = verify(stars.select("a", "b"), reps, percent)
+    if by_digest:
+        stars = stars.unionAll(docs.filter("n > 0").join(same, "id").select(F.col("d1").alias("a"), F.col("digest").alias("b")).filter("a <> b").distinct())
+    stars = scratch.table(stars, "stars")
     rows = _open_buckets(scratch, members.select("key", "band", "rep"), components(scratch, stars, "star-labels"), reps)
     links = scratch.table(bucket_links(rows, percent).distinct().unionAll(stars), "links")
     labels = components(scratch, links, "labels")
-    groups = groups.select("digest", F.col("rep").alias("node"), F.col("copies").alias("n")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"), "n")
+    groups = groups.select("digest", "low", F.col("rep").alias("node"), F.col("copies").alias("n")).join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("component"), "n")
+    if by_digest:
+        groups = scratch.table(groups.withColumnsRenamed({"n": "copies", "digest": "own"}), "labelled")
+        lowest = scratch.table(groups.groupBy(F.col("component").alias("digest")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")), "lowest")
+        groups = attach_groups(groups.select("own", "copies", F.col("component").alias("digest"), F.xxhash64("own").alias("_salt")), lowest, ["digest"], "_salt", groups.count()).select(F.col("own").alias("digest"), F.col("least").alias("component"), F.col("copies").alias("n"))
+    groups = groups.select("digest", "component", "n")
     rows = docs.select("id", F.col("n").alias("size"), "digest", F.xxhash64("id", "at").alias("_salt"))
     out = attach_groups(rows, scratch.table(groups, "components"), ["digest"], "_salt", docs.count())
-    scratch.drop("sets", "groups", "members", "stars", "links", *[f"open-{i}" for i in range(4)])
+    scratch.drop("sets", "groups", "members", "stars", "links", "labelled", "lowest", *[f"open-{i}" for i in range(4)])
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
