@@ -33,6 +33,19 @@ def test_language(spark):
     assert identify(df.limit(0), model).count() == 0
 
 
+def test_unlabelled_texts_are_kept(spark):
+    rows = [(1, "some words", None), (2, "12 -- !", None), (3, None, None), (4, "é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in drop_unidentified(df, fit(df)).collect()) == [1, 4]
+
+
+def test_sample_goes_by_id_and_text(spark):
+    for same in (None, 1):  # rows that share an id are neither all taken nor all left
+        rows = [(same, f"word{i} " + "abc " * (i % 7), ["aa", "bb"][i % 2]) for i in range(400)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert fit(df, most_rows=100).languages == ["aa", "bb"]
+
+
 def test_backoff_goes_to_the_longest_known_ngram():
     model = Model([(0, "abc", "x", 3), (3, "abd", "x", 2), (3, "abd", "y", 1), (1, "d", "y", 9), (1, "d", "x", 1), (1, "q", "x", 1)])
     assert model.word("abd")[0] > model.word("abd")[1]

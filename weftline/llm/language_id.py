@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import crc_mod
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: The model is fitted on about this many labelled rows, chosen by a hash of the id, or on all where there are fewer.
+#: The model is fitted on about this many labelled rows, chosen by a hash of id and text, or on all where there are fewer.
 MOST_TRAINING_ROWS = 10_000
 #: It holds at most so many words and n-grams, the most frequent ones.
 MOST_GRAMS = 300_000
@@ -118,7 +118,7 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col:
     df = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(label_col).cast("string").alias("_label")).filter("_label IS NOT NULL AND _text IS NOT NULL")
     share = min(1.0, most_rows / max(df.select("_label").filter("_label IS NOT NULL").count(), 1))
     if share < 1:
-        df = df.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+        df = df.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches):
         import pyarrow as pa
@@ -165,9 +165,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_unidentified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of df whose text has a language, all columns."""
+    """The rows of df whose text has a language, all columns; where the model knows none, those whose text has a letter."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    known = F.pandas_udf(lambda s: s.map(lambda t: sent.value.predict([t])[0][0] != "und"), "boolean")
+
+    def has_language(text: str) -> bool:
+        return sent.value.predict([text])[0][0] != "und" if sent.value.languages else bool(_LETTERS.search(text))
+
+    known = F.pandas_udf(lambda s: s.map(has_language), "boolean")
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     docs = df.toDF(*names.values())
     docs = docs.filter(known(F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))))
