@@ -6,27 +6,20 @@ from collections import Counter
 
 import pytest
 
-from weftline.llm import lm_score
-from weftline.llm.lm_score import op4_lm_score, score_texts
+from weftline.llm.lm_score import STRENGTH, op4_lm_score, score_texts
 
 
 class Plain:
-    """The automaton of texts, one step at a time."""
+    """The automaton of texts, one step at a time; contexts are tuples."""
 
-    def __init__(self, texts, least=2, discount=0.75):
-        self.one, self.two, self.d = Counter(), Counter(), discount
-        starts = 0
+    def __init__(self, texts, order=3, strength=STRENGTH):
+        self.n, self.order, self.strength, self.one = Counter(), order, strength, Counter()
         for t in texts:
             words = [None, *self.split(t)]
-            starts += 1
             self.one.update(words[1:])
-            self.two.update(zip(words, words[1:]))
+            for k in range(1, order + 1):
+                self.n.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
         self.total, self.types = sum(self.one.values()), len(self.one)
-        self.two = {k: n for k, n in self.two.items() if n >= least}
-        self.n = self.one | Counter({None: starts})
-        self.taken = Counter()
-        for (h, _), n in self.two.items():
-            self.taken[h] += n - discount
 
     @staticmethod
     def split(text):
@@ -39,42 +32,55 @@ class Plain:
         return (self.one[w] + 1) / (self.total + self.types + 1)
 
     def step(self, state, w):
-        if state not in self.n:
+        """The probability of w in a state: by its arc, whose weight holds that of the shorter contexts, or by failure."""
+        if not state:
             return self.p(w)
-        arc = max(self.two.get((state, w), 0) - self.d, 0) / self.n[state]
-        return arc + (1 - self.taken[state] / self.n[state]) * self.p(w)
+        below = self.step(state[1:], w)
+        if (*state, w) in self.n:
+            return (self.n[(*state, w)] + self.strength * below) / (self.n[state] + self.strength)
+        return self.strength / (self.n[state] + self.strength) * below
+
+    def after(self, state, w):
+        state = (*state, w)[-(self.order - 1) :] if self.order > 1 else ()
+        while state and state not in self.n:
+            state = state[1:]
+        return state
 
     def score(self, text):
-        state, log = None, 0.0
+        state, log = self.after((), None), 0.0
         for w in self.split(text):
             log += math.log10(self.step(state, w))
-            state = w
+            state = self.after(state, w)
         return log
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_scores(spark, monkeypatch, small):
-    if small:
-        monkeypatch.setattr(lm_score, "_RUN", 50)
-        monkeypatch.setattr(lm_score, "_COUNT_RUN", 120)
-        monkeypatch.setattr(lm_score, "_FILE", 8)
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice(["The", "of", "é", "A|B", "x y", "lone%d" % rng.randint(0, 300)]) for _ in range(rng.randint(0, 40))) for _ in range(120)]
-    texts += [None, "", " \t\n", "the of the of " * 5000, "The\x0bof\x0cé"]
-    rows = list(enumerate(texts)) + [(7, "again"), (None, "of the")]
+def corpus(rng):
+    texts = [" ".join(rng.choice(["The", "of", "é", "A|B", "x y", "lone%d" % rng.randint(0, 300)]) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    return texts + [None, "", " \t\n", "the of the of " * 5000, "The\x0bof\x0cé"]
+
+
+@pytest.mark.parametrize("order,sizes", [(3, {}), (3, {"block": 400, "shard": 9000, "lane": 7}), (1, {"block": 500}), (2, {"block": 300, "lane": 3}), (4, {"block": 2000, "shard": 30_000, "lane": 2})])
+def test_scores(spark, order, sizes):
+    rows = list(enumerate(corpus(random.Random(4)))) + [(7, "again"), (None, "of the"), (500, "the of the of")]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
-    train = [t for i, t in rows if i is not None and i % 3]
-    plain = Plain(train)
-    got = sorted(map(tuple, score_texts(df, df.filter("doc_id % 3 != 0")).collect()), key=str)
+    plain = Plain([t for i, t in rows if i is not None and i % 3], order)
     want = []
     for i, t in rows:
         words = plain.split(t)
         want.append((i, len(words), sum(plain.one[w] > 0 for w in words), plain.total, sum(math.log10(plain.p(w)) for w in words), plain.score(t)))
     want.sort(key=str)
-    assert [g[:4] for g in got] == [w[:4] for w in want]
-    for g, w in zip(got, want, strict=True):
-        assert g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)
-    for state in (None, "the", "of", "never"):
+    train = df["doc_id"] % 3 != 0
+    for learn in (train, df.filter(train)):  # a null id meets no condition
+        got = sorted(map(tuple, score_texts(df, learn, order=order, **sizes).collect()), key=str)
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        for g, w in zip(got, want, strict=True):
+            assert g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    plain = Plain(corpus(random.Random(4)))
+    for state in [(), (None,), (None, "the"), ("the",), ("the", "of"), ("x", "y")]:
+        assert state == () or state in plain.n
         assert sum(plain.step(state, w) for w in plain.one) + plain.step(state, "never seen") == pytest.approx(1)
 
 
@@ -83,14 +89,25 @@ def test_no_training_and_empty_table(spark):
     row = score_texts(df, df.limit(0)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
     assert score_texts(df.limit(0), df).count() == 0
+    assert score_texts(df.limit(0), df["doc_id"] > 0).count() == 0
 
 
-def test_query_has_an_arc_for_pairs_seen_once(spark, tmp_path):
+def test_query_has_an_arc_for_grams_seen_once(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of", "rare%d" % rng.randint(0, 500)]) for _ in range(20))) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op4_lm_score(spark, str(tmp_path)).collect()}
-    plain = Plain([t for i, t in rows if not got[i].held_out], least=1)
-    assert 1 in plain.two.values() and any(r.held_out for r in got.values())
+    plain = Plain([t for i, t in rows if not got[i].held_out])
+    assert 1 in plain.n.values() and any(r.held_out for r in got.values())
     for i, t in rows:
         assert got[i].score == pytest.approx(plain.score(t), rel=1e-9)
+
+
+def test_texts_learned_twice_are_told_apart(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocab, k=60)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:40]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(df, df["doc_id"] >= 0).collect()}
+    assert min(got[i] for i in range(40)) > max(got[i] for i in range(40, 200))
