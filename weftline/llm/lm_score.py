@@ -17,7 +17,7 @@ START, END = (np.uint64(int.from_bytes(x, "big")) for x in (b"\x01 start\x01", b
 #: Words in a gram, and how many occurrences the next shorter context counts as.
 ORDER, STRENGTH = 3, 64.0
 #: Tokens of a block of texts; grams of a shard of the model; tokens that one lane of a traversal takes.
-_BLOCK, _SHARD, _LANE = 1 << 21, 1 << 23, 1 << 10
+_BLOCK, _SHARD, _LANE = 3 << 19, 1 << 23, 1 << 10
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -103,21 +103,21 @@ class Block:
         with system.open_input_stream(path) as f:
             data = f.read()
         n = int.from_bytes(data[:8], "little")
-        self.words, self.at = np.frombuffer(data, "<u8", n, 8), _unpack(data[8 + 8 * n :], "<u4").astype(np.int64)
+        self.words, self.at = np.frombuffer(data, "<u8", n, 8), _unpack(data[8 + 8 * n :], "<i4")
         self.sizes, self.order = sizes, order
         self.begins = np.cumsum(sizes) - sizes
-        within = np.arange(len(self.at)) - np.repeat(self.begins, sizes)
+        within = np.arange(len(self.at), dtype=np.int32) - np.repeat(self.begins.astype(np.int32), sizes)
         tokens = self.words[self.at]
         #: of order k at k - 1: hashes of the distinct grams; the tokens that end one; their grams' places
-        self.grams, self.ends, self.place = [self.words], [np.arange(len(self.at))], [self.at]
+        self.grams, self.ends, self.place = [self.words], [np.arange(len(self.at), dtype=np.int32)], [self.at]
         h = tokens
         for k in range(2, order + 1):
-            ends = np.flatnonzero(within >= k - 1)
+            ends = np.flatnonzero(within >= k - 1).astype(np.int32)
             h = np.concatenate([h[:1], combine(h[:-1], tokens[1:])])
             gram, place = np.unique(h[ends], return_inverse=True)
             self.grams.append(gram)
             self.ends.append(ends)
-            self.place.append(place)
+            self.place.append(place.astype(np.int32))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """All grams' hashes, shorter grams first, and the order that sorts them."""
@@ -155,17 +155,17 @@ class Automaton:
         arcs, weights, targets = [], [], []
         for k in range(1, block.order):
             ends, place = block.ends[k], block.place[k]
-            one = np.zeros(sizes[k], np.int64)
-            one[place] = np.arange(len(place))  # some occurrence of each gram
-            at = ends[one]
-            shorter = np.full(len(block.at), -1)
+            at = np.zeros(sizes[k], np.int32)
+            at[place] = ends  # some occurrence of each gram
+            shorter = np.full(len(block.at), -1, np.int32)
             shorter[block.ends[k - 1]] = block.place[k - 1]
             prefix, suffix, word = shorter[at - 1], shorter[at], block.at[at]
+            del shorter, at
             own, before = n[offset[k] : offset[k + 1]], n[offset[k - 1] : offset[k]][prefix]
             p = (own + strength * p[suffix]) / (before + strength)
             seen = own > 0
             suffix = suffix + offset[k - 1]
-            arcs.append(((prefix + offset[k - 1]) * self.words + word)[seen])
+            arcs.append((prefix[seen] + offset[k - 1]) * self.words + word[seen])
             weights.append(np.log10(p[seen]))
             if k + 1 < block.order:
                 self.fail[offset[k] : offset[k + 1]] = suffix
