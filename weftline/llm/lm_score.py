@@ -17,7 +17,7 @@ START, END = (np.uint64(int.from_bytes(x, "big")) for x in (b"\x01 start\x01", b
 #: Words in a gram, and how many occurrences the next shorter context counts as.
 ORDER, STRENGTH = 3, 64.0
 #: Tokens of a block of texts; grams of a shard of the model; tokens that one lane of a traversal takes.
-_BLOCK, _SHARD, _LANE = 3 << 19, 1 << 23, 1 << 10
+_BLOCK, _SHARD, _LANE = 3 << 19, 1 << 22, 1 << 10
 
 
 def _pack(x: np.ndarray) -> bytes:
