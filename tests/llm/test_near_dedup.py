@@ -58,9 +58,9 @@ def corpus(seed, groups=25):
     return [(i * 7 % 1009, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,size,most", [(1, 4, 20_000), (2, 5, 9)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, size, most):
-    monkeypatch.setattr(near_dedup, "MOST_IN_BUCKET", most)
+@pytest.mark.parametrize("seed,size,block", [(1, 4, 256), (2, 5, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, size, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = corpus(seed) + [(5000, None), (5001, ""), (5002, " \n"), (5003, "One two"), (5004, "one TWO"), (None, "one two"), (5005, "z " * 30_000), (5006, "z " * 20_000), (5010, "rep a b c d e"), (5010, "rep a b c d e"), (5011, "x1 x2 x3 x4 x5 x6"), (5011, "y1 y2 y3 y4 y5 y6")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, label int").repartition(3)
     got = near_duplicates(df, shingle=size).collect()

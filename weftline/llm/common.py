@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Where both are unset, a local session, which has one machine only, gets a temporary folder; a cluster gets an error,
+    as its executors don't share the driver's folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -75,20 +82,21 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], row_key:
     """Left-join groups (unique by keys, with its row count in column n) to rows.
 
     A group with more than total / most_heavy rows is heavy; there are fewer than most_heavy of those, so they are
-    broadcast. Their rows go through the other, shuffled join under row_key instead of the group's key, so that no
-    task gets a large group.
+    broadcast. Their rows, and those with a null key, go through the other, shuffled join under row_key instead of the
+    group's key, so that no task gets a large group.
     """
     values = [c for c in groups.columns if c not in keys]
     limit = max(total // most_heavy, 1)
     heavy = groups.filter(F.col("n") > limit).select(*keys, *[F.col(c).alias(f"_h_{c}") for c in values])
-    light = groups.filter(F.col("n") <= limit).select(*[F.col(k).alias(f"_l_{k}") for k in keys], *[F.col(c).alias(f"_l_{c}") for c in values])
+    light = groups.filter(F.col("n") <= limit).select(F.xxhash64(*keys).alias("_l_spread"), *[F.col(k).alias(f"_l_{k}") for k in keys], *[F.col(c).alias(f"_l_{c}") for c in values])
     rows = rows.join(F.broadcast(heavy), keys, "left")
-    first = keys[0]
-    spread = F.when(F.col("_h_n").isNull(), F.col(first)).otherwise(F.encode(F.col(row_key).cast("string"), "utf-8"))
-    rows = rows.withColumn("_spread", spread)
-    on = [F.col("_spread") == F.col(f"_l_{first}"), *[F.col(k) == F.col(f"_l_{k}") for k in keys[1:]]]
+    alone = F.col("_h_n").isNotNull()
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    rows = rows.withColumn("_spread", F.when(alone, F.xxhash64(F.col(row_key), F.lit(1))).otherwise(F.xxhash64(*keys)))
+    on = [F.col("_spread") == F.col("_l_spread"), *[F.col(k) == F.col(f"_l_{k}") for k in keys]]
     rows = rows.join(light, on, "left")
-    return rows.drop("_spread", *[f"_l_{k}" for k in keys]).withColumns({c: F.coalesce(f"_h_{c}", f"_l_{c}") for c in values}).drop(*[f"_{x}_{c}" for x in "hl" for c in values])
+    return rows.drop("_spread", "_l_spread", *[f"_l_{k}" for k in keys]).withColumns({c: F.coalesce(f"_h_{c}", f"_l_{c}") for c in values}).drop(*[f"_{x}_{c}" for x in "hl" for c in values])
 
 
 def words_in(text: Column) -> Column:

@@ -16,8 +16,8 @@ from weftline.llm.word_hashes import WordHashes, combine, scramble
 COORDINATES, BAND = 128, 4
 #: Of a pair at the threshold 0.8, 102 of 128 coordinates agree on average; fewer than this with a chance below 1 in 50,000.
 LEAST_AGREEING = 79
-#: A bucket with more members is split by the members' other bands.
-MOST_IN_BUCKET = 20_000
+#: Members of a block; larger buckets are compared a pair of blocks at a time.
+BLOCK = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROUND = scramble(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -121,11 +121,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b), checked on the whole sets, which are read from their files."""
+def verify(pairs: DataFrame, reps: DataFrame, percent: int, total: int) -> DataFrame:
+    """The links among pairs (a, b), each b in one only, checked on the whole sets, which are read from their files; total: about the number of pairs."""
     place = ["n", "file", "at"]
-    for side in "ab":
-        pairs = pairs.join(reps.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in place]), side)
+    centres = pairs.groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("_m")).join(reps, "rep")
+    centres = centres.select(F.col("rep").alias("a"), F.col("_m").alias("n"), *[F.col(c).alias(f"a_{c}") for c in place])
+    pairs = attach_groups(pairs, centres, ["a"], "b", total).drop("n")
+    pairs = pairs.join(reps.select(F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in place]), "b")
     kind = dict(pairs.dtypes)["a"]
 
     def work(batches):
@@ -156,14 +158,14 @@ class _Union:
 
 
 def linked_in_bucket(rows: dict, load, percent: int) -> list[tuple]:
-    """Links between different components of a bucket, as many as join them; rows: rep, label, n, band, bands, marks, file, at.
+    """Links between different components of a bucket, as many as join them; rows: rep, label, n, band, bands, marks, file, at, block.
 
-    Members are compared by sizes and sketches, and what may be a link is checked on the whole sets, unless the two are
+    If rows are of two blocks of the bucket, only members of different blocks are compared. Members are compared by sizes and sketches, and what may be a link is checked on the whole sets, unless the two are
     joined by then. A pair is left to the bucket of the first band that it shares. Members that agree most with a few
     others come first, so that the middle of a group of copies joins it early.
     """
-    rep, n, bands, marks, band = rows["rep"], rows["n"], rows["bands"], rows["marks"], rows["band"]
-    m, out = len(rep), []
+    rep, n, bands, marks, band, block = rows["rep"], rows["n"], rows["bands"], rows["marks"], rows["band"], rows["block"]
+    m, out, two = len(rep), [], rows["two"]
     trees = _Union(np.unique(np.array(rows["label"]), return_inverse=True)[1])
     if (trees.name == trees.name[0]).all():
         return out
@@ -172,7 +174,7 @@ def linked_in_bucket(rows: dict, load, percent: int) -> list[tuple]:
     done = np.zeros(m, bool)
     for i in order.tolist():
         done[i] = True
-        other = np.flatnonzero(~done & (trees.name != trees.name[i]))
+        other = np.flatnonzero(~done & (trees.name != trees.name[i]) & ((block != block[i]) | (not two)))
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
         if not len(other):
             continue
@@ -192,9 +194,9 @@ def linked_in_bucket(rows: dict, load, percent: int) -> list[tuple]:
 
 
 def bucket_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the buckets of members; see linked_in_bucket. A task holds one bucket's sketches at a time."""
+    """Links (a, b) of the buckets of members; see linked_in_bucket. A task holds the sketches of two blocks of a bucket at a time."""
     kind = dict(members.dtypes)["rep"]
-    names = ["key", "band", "rep", "label", "n", "bands", "marks", "file", "at"]
+    names = ["key", "low", "high", "block", "band", "rep", "label", "n", "bands", "marks", "file", "at"]
 
     def work(batches):
         import pyarrow as pa
@@ -204,14 +206,14 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
         def links(held: list) -> list[tuple]:
             if len(held) < 2:
                 return []
-            key, band, rep, label, n, bands, marks, file, at = zip(*held, strict=True)
-            return linked_in_bucket({"rep": rep, "label": label, "n": np.array(n), "band": band[0], "bands": np.array(bands), "marks": np.frombuffer(b"".join(marks), np.uint8).reshape(len(rep), -1), "file": file, "at": at}, sets.load, percent)
+            _, low, high, block, band, rep, label, n, bands, marks, file, at = zip(*held, strict=True)
+            return linked_in_bucket({"rep": rep, "label": label, "n": np.array(n), "band": band[0], "bands": np.array(bands), "marks": np.frombuffer(b"".join(marks), np.uint8).reshape(len(rep), -1), "file": file, "at": at, "block": np.array(block), "two": low[0] != high[0]}, sets.load, percent)
 
         held: list = []
         for b in batches:
             out: list = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != row[0]:
+                if held and held[0][:3] != row[:3]:
                     out += links(held)
                     held = []
                 held.append(row)
@@ -220,22 +222,20 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
         if held and (out := links(held)):
             yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
 
-    rows = members.select(*names).repartition("key").sortWithinPartitions("key", "rep")
+    rows = members.select(*names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
     return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with what linked_in_bucket needs; too large ones split by further bands."""
+    """Members of the buckets that hold several components, with what linked_in_bucket needs: once for each pair of blocks that they are compared in."""
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    for depth in range(4):
-        several = rows.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_m")).filter("_low < _high")
-        rows = scratch.table(rows.join(several.select("key", "_m"), "key"), f"open-{depth}")
-        large = rows.filter(F.col("_m") > MOST_IN_BUCKET)
-        if depth == 3 or large.isEmpty():
-            break
-        finer = large.join(reps.select("rep", "bands"), "rep").select(F.explode("bands").alias("_next"), "key", "band", "rep", "label").filter("_next <> key")
-        rows = rows.filter(F.col("_m") <= MOST_IN_BUCKET).select("key", "band", "rep", "label").unionAll(finer.select(F.xxhash64("key", "_next").alias("key"), "band", "rep", "label"))
-    return rows.drop("_m").join(reps, "rep")
+    rows = scratch.table(rows, "labelled-members")
+    several = rows.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("n")).filter("_low < _high")
+    rows = attach_groups(rows, several.select("key", "n"), ["key"], "rep", rows.count()).filter("n IS NOT NULL")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "band", "rep", "label")
+    return rows.join(reps, "rep")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -248,8 +248,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts of equal sets are one node. First each node is checked against the smallest one of its buckets, which joins
     large groups of copies by as many checks as they have members. Then only members of different components of a bucket
-    are compared, by their sketches, and checked where they lie; what leaves a bucket is the links that join components,
-    fewer than it has members.
+    are compared, by their sketches, and checked where they lie, a large bucket in pairs of blocks that go to tasks of
+    their own; what leaves a pair of blocks is the links that join components, fewer than it has members.
 
     A null text counts as empty; texts without words are linked with nothing. A row with a null id is linked with
     nothing, its component_id is null and it is kept. Rows that repeat an id have the component of all of them. Whole
@@ -268,9 +268,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     multi = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).filter("m > 1")
-    members = scratch.table(keys.join(multi.select("key", "centre"), "key"), "members")
+    nodes = reps.count()
+    members = attach_groups(keys, multi.withColumnRenamed("m", "n"), ["key"], "rep", nodes * COORDINATES // BAND)
+    members = scratch.table(members.filter("n IS NOT NULL").drop("n"), "members")
     stars = members.filter("rep <> centre").groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a"))
-    stars = verify(stars.select("a", "b"), reps, percent)
+    stars = verify(scratch.table(stars.select("a", "b"), "pairs"), reps, percent, nodes)
     if by_digest:
         stars = stars.unionAll(docs.filter("n > 0").join(same, "id").select(F.col("d1").alias("a"), F.col("digest").alias("b")).filter("a <> b").distinct())
     stars = scratch.table(stars, "stars")
@@ -285,7 +287,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = groups.select("digest", "component", "n")
     rows = docs.select("id", F.col("n").alias("size"), "digest", F.xxhash64("id", "at").alias("_salt"))
     out = attach_groups(rows, scratch.table(groups, "components"), ["digest"], "_salt", docs.count())
-    scratch.drop("sets", "groups", "members", "stars", "links", "labelled", "lowest", *[f"open-{i}" for i in range(4)])
+    scratch.drop("sets", "groups", "members", "stars", "links", "pairs", "labelled", "lowest", "labelled-members")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
