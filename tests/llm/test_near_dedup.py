@@ -68,7 +68,9 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, size, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_hub_that_is_not_the_smallest(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_hub_that_is_not_the_smallest(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(200)]
     rows = [(500, " ".join(base))]

@@ -193,48 +193,114 @@ def linked_in_bucket(rows: dict, load, percent: int) -> list[tuple]:
     return out
 
 
-def bucket_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the buckets of members; see linked_in_bucket. A task holds the sketches of two blocks of a bucket at a time."""
+_MEMBER = ["band", "rep", "label", "n", "bands", "marks", "file", "at"]
+
+
+def _links(blocks: list, load, percent: int) -> list[tuple]:
+    """The links inside one block, or between the members of two; a block is a table of _MEMBER columns."""
+    band, rep, label, n, bands, marks, file, at = zip(*(row for b in blocks for row in zip(*(b.column(c).to_pylist() for c in _MEMBER), strict=True)), strict=True)
+    block = np.repeat(np.arange(len(blocks)), [b.num_rows for b in blocks])
+    return linked_in_bucket({"rep": rep, "label": label, "n": np.array(n), "band": band[0], "bands": np.array(bands), "marks": np.frombuffer(b"".join(marks), np.uint8).reshape(len(rep), -1), "file": file, "at": at, "block": block, "two": len(blocks) == 2}, load, percent)
+
+
+def bucket_links(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the buckets of members; see linked_in_bucket.
+
+    First a task looks into one block of a bucket at a time. Where a bucket has several, each block is written to a
+    file, and then pairs of them are read and compared, unless both are of the same component; only the blocks' places
+    are joined to pairs.
+    """
     kind = dict(members.dtypes)["rep"]
-    names = ["key", "low", "high", "block", "band", "rep", "label", "n", "bands", "marks", "file", "at"]
+    folder = scratch.folder("blocks")
 
-    def work(batches):
+    def within(batches):
+        import pyarrow as pa
+
+        sets, path, begin, out = _Sets(), f"{folder}/{uuid.uuid4().hex}", 0, None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+        def block(held: list):
+            nonlocal begin, out
+            rows = pa.Table.from_batches(held).combine_chunks()
+            links = _links([rows], sets.load, percent) if rows.num_rows > 1 else []
+            if links:
+                a, b = (pa.array(x, rows.schema.field("rep").type) for x in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(links), k) for k in kinds), pa.nulls(len(links), a.type)], names=names)
+            if rows.column("many")[0].as_py():
+                if out is None:
+                    system, own = open_shared(path)
+                    out = system.open_output_stream(own)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.select(_MEMBER).schema) as writer:
+                    writer.write_table(rows.select(_MEMBER))
+                data = sink.getvalue()
+                out.write(data)
+                labels = rows.column("label").unique()
+                none = pa.nulls(1, labels.type)
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array([x], k) for x, k in zip([rows.column("key")[0].as_py(), rows.column("block")[0].as_py(), path, begin, data.size], kinds, strict=True)), pa.array([labels[0].as_py() if len(labels) == 1 else None], labels.type)], names=names)
+                begin += data.size
+
+        held, now = [], None
+        for b in batches:
+            keys = np.stack([np.asarray(b.column("key")), np.asarray(b.column("block"))])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and tuple(keys[:, i]) != now:
+                    yield from block(held)
+                    held = []
+                now = tuple(keys[:, i])
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from block(held)
+        if out is not None:
+            out.close()
+
+    names = ["a", "b", "key", "block", "file", "at", "size", "label"]
+    rows = members.select("key", "block", "many", *_MEMBER).repartition("key", "block").sortWithinPartitions("key", "block", "rep")
+    found = scratch.table(rows.mapInArrow(within, f"a {kind}, b {kind}, key long, block long, file string, at long, size long, label {kind}"), "within")
+    links = found.filter("a IS NOT NULL").select("a", "b")
+    refs = found.filter("file IS NOT NULL").select(names[2:])
+    if refs.isEmpty():
+        return links
+    left, right = (refs.select("key", *[F.col(c).alias(f"{c}_{side}") for c in names[3:]]) for side in "ab")
+    pairs = left.join(right, "key").filter("block_a < block_b AND NOT coalesce(label_a = label_b, false)")
+    pairs = scratch.table(pairs.select("file_a", "at_a", "size_a", "file_b", "at_b", "size_b"), "block-pairs")
+    n, tasks = pairs.count(), int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def across(batches):
         import pyarrow as pa
 
         sets = _Sets()
 
-        def links(held: list) -> list[tuple]:
-            if len(held) < 2:
-                return []
-            _, low, high, block, band, rep, label, n, bands, marks, file, at = zip(*held, strict=True)
-            return linked_in_bucket({"rep": rep, "label": label, "n": np.array(n), "band": band[0], "bands": np.array(bands), "marks": np.frombuffer(b"".join(marks), np.uint8).reshape(len(rep), -1), "file": file, "at": at, "block": np.array(block), "two": low[0] != high[0]}, sets.load, percent)
+        def load(path: str, at: int, size: int):
+            system, own = open_shared(path)
+            with system.open_input_file(own) as f:
+                return pa.ipc.open_stream(f.read_at(size, at)).read_all()
 
-        held: list = []
         for b in batches:
-            out: list = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    out += links(held)
-                    held = []
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
-        if held and (out := links(held)):
-            yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
+            for r in b.to_pylist():
+                links = _links([load(r[f"file_{x}"], r[f"at_{x}"], r[f"size_{x}"]) for x in "ab"], sets.load, percent)
+                if links:
+                    yield pa.RecordBatch.from_pydict({"a": [x[0] for x in links], "b": [x[1] for x in links]})
 
-    rows = members.select(*names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-    return rows.mapInArrow(work, f"a {kind}, b {kind}")
+    more = pairs.repartition(max(1, min(n, max(tasks, n // 64)))).mapInArrow(across, f"a {kind}, b {kind}")
+    return links.unionAll(more)
 
 
 def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with what linked_in_bucket needs: once for each pair of blocks that they are compared in."""
+    """Members of the buckets that hold several components, with what linked_in_bucket needs, dealt to blocks of about BLOCK; members of a large component have blocks of their own."""
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     rows = scratch.table(rows, "labelled-members")
-    several = rows.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("n")).filter("_low < _high")
-    rows = attach_groups(rows, several.select("key", "n"), ["key"], "rep", rows.count()).filter("n IS NOT NULL")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "band", "rep", "label")
+    sizes = scratch.table(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_labels"), F.sum("n").alias("n")).filter("_labels > 1").select("key", "n")
+    rows = attach_groups(rows, several, ["key"], "rep", rows.count()).filter("n IS NOT NULL").withColumnRenamed("n", "_all")
+    large = sizes.filter(F.col("n") > BLOCK).withColumn("_parts", F.ceil(F.col("n") / BLOCK))
+    rows = attach_groups(rows, large, ["key", "label"], "rep", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).drop("n")
+    own = F.xxhash64("label", F.pmod(F.xxhash64("rep"), "_parts"))
+    block = F.when(F.col("_parts").isNotNull(), own).otherwise(F.pmod(F.xxhash64("label", F.lit(2)), F.ceil(F.col("_all") / BLOCK)))
+    rows = rows.select("key", "band", "rep", "label", block.alias("block"), (F.col("_all") > BLOCK).alias("many"))
     return rows.join(reps, "rep")
 
 
@@ -248,8 +314,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts of equal sets are one node. First each node is checked against the smallest one of its buckets, which joins
     large groups of copies by as many checks as they have members. Then only members of different components of a bucket
-    are compared, by their sketches, and checked where they lie, a large bucket in pairs of blocks that go to tasks of
-    their own; what leaves a pair of blocks is the links that join components, fewer than it has members.
+    are compared, by their sketches, and checked where they lie, a large bucket in blocks and pairs of blocks that go to
+    tasks of their own; what leaves a pair of blocks is the links that join components, fewer than it has members.
 
     A null text counts as empty; texts without words are linked with nothing. A row with a null id is linked with
     nothing, its component_id is null and it is kept. Rows that repeat an id have the component of all of them. Whole
@@ -277,7 +343,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         stars = stars.unionAll(docs.filter("n > 0").join(same, "id").select(F.col("d1").alias("a"), F.col("digest").alias("b")).filter("a <> b").distinct())
     stars = scratch.table(stars, "stars")
     rows = _open_buckets(scratch, members.select("key", "band", "rep"), components(scratch, stars, "star-labels"), reps)
-    links = scratch.table(bucket_links(rows, percent).distinct().unionAll(stars), "links")
+    links = scratch.table(bucket_links(scratch, rows, percent).distinct().unionAll(stars), "links")
     labels = components(scratch, links, "labels")
     groups = groups.select("digest", "low", F.col("rep").alias("node"), F.col("copies").alias("n")).join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("component"), "n")
     if by_digest:
@@ -287,7 +353,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = groups.select("digest", "component", "n")
     rows = docs.select("id", F.col("n").alias("size"), "digest", F.xxhash64("id", "at").alias("_salt"))
     out = attach_groups(rows, scratch.table(groups, "components"), ["digest"], "_salt", docs.count())
-    scratch.drop("sets", "groups", "members", "stars", "links", "pairs", "labelled", "lowest", "labelled-members")
+    scratch.drop("sets", "groups", "members", "stars", "links", "pairs", "labelled", "lowest", "labelled-members", "sizes", "blocks", "within", "block-pairs")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
