@@ -1,8 +1,14 @@
 """Language identification and quality scores: held-out accuracy, edge cases, posteriors by hand."""
 
+import math
 import random
+import unicodedata
+from collections import Counter
 
-from weftline.llm.language_id import Model, drop_unidentified, fit, identify
+import pytest
+
+from weftline.llm import language_id
+from weftline.llm.language_id import Model, fit, identify, label_languages
 from weftline.llm.quality import score_quality, site_posteriors
 
 
@@ -27,8 +33,10 @@ def test_language(spark):
     assert all(r.lang_pred == ["aa", "bb"][r.doc_id % 2] for r in rows if r.doc_id is not None and r.doc_id < 300)
     assert all(0 <= r.score <= 1 for r in rows)
     assert {(r.doc_id, r.lang_pred) for r in rows if r.doc_id is None or r.doc_id >= 1000} == {(1000, "und"), (1001, "und"), (1002, "und"), (None, "bb"), (1003, "bb")}
-    left = drop_unidentified(both, model)
+    left = label_languages(both, model)
     assert left.columns == both.columns and left.count() == 303
+    assert {r.lang for r in left.filter("doc_id = 1003 OR doc_id IS NULL").collect()} == {"bb"}
+    assert label_languages(both.limit(0), model).count() == 0
     assert {r.lang_pred for r in identify(df, fit(df.limit(0))).collect()} == {"und"}
     assert identify(df.limit(0), model).count() == 0
 
@@ -36,7 +44,7 @@ def test_language(spark):
 def test_unlabelled_texts_are_kept(spark):
     rows = [(1, "some words", None), (2, "12 -- !", None), (3, None, None), (4, "é", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert sorted(r.doc_id for r in drop_unidentified(df, fit(df)).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in label_languages(df, fit(df)).collect()) == [1, 4]
 
 
 def test_sample_goes_by_id_and_text(spark):
@@ -47,10 +55,74 @@ def test_sample_goes_by_id_and_text(spark):
 
 
 def test_backoff_goes_to_the_longest_known_ngram():
-    model = Model([(0, "abc", "x", 3), (3, "abd", "x", 2), (3, "abd", "y", 1), (1, "d", "y", 9), (1, "d", "x", 1), (1, "q", "x", 1)])
-    assert model.word("abd")[0] > model.word("abd")[1]
-    assert model.word("zd")[1] > model.word("zd")[0]
-    assert model.word("!!") == [0.0, 0.0]
+    model = Model.of([(0, "abc", "x", 3), (3, "abd", "x", 2), (3, "abd", "y", 1), (1, "d", "y", 9), (1, "d", "x", 1), (1, "q", "x", 1)])
+    abd, zd, none = model.words(["abd", "zd", "!!"])
+    assert abd[0] > abd[1] and zd[1] > zd[0] and list(none) == [0.0, 0.0]
+    tie = Model.of([(0, "a", "y", 1), (0, "a", "x", 1)])
+    assert list(tie.predict(["a", "½ ² Ⅷ 12 _", "a½"])) == [("x", 0.5), ("und", 0.0), ("x", 0.5)]
+
+
+def plain_predictions(train, texts):
+    """Words first, then 5- to 1-grams, with dictionaries."""
+
+    def words(text):
+        found, now = [], ""
+        for c in (text or "").lower() + " ":
+            if unicodedata.category(c)[0] == "L" or now and unicodedata.category(c)[0] == "M":
+                now += c
+            elif now:
+                found.append(now)
+                now = ""
+        return found
+
+    def grams(w, n):
+        return [w] if n == 0 else list(w) if n == 1 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+
+    languages = sorted({x for _, x in train})
+    counts = {(n, x): Counter() for n in range(6) for x in languages}
+    for text, x in train:
+        for w in words(text):
+            for n in range(6):
+                counts[n, x].update(grams(w, n))
+    kinds = [len(set().union(*(counts[n, x] for x in languages))) for n in range(6)]
+
+    def log(n, g, x):
+        return math.log((counts[n, x][g] + 0.5) / (sum(counts[n, x].values()) + 0.5 * (kinds[n] + 1)))
+
+    def score(w, x):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [g for g in grams(w, n) if any(counts[n, y][g] for y in languages)]
+            if known:
+                return sum(log(n, g, x) for g in known) / max(n, 1)
+        return 0.0
+
+    for text in texts:
+        found = words(text)
+        if not found:
+            yield "und", 0.0
+            continue
+        logs = [sum(score(w, x) for w in found) * min(1, 20 / len(found)) for x in languages]
+        p = [math.exp(v - max(logs)) for v in logs]
+        yield languages[p.index(max(p))], max(p) / sum(p)
+
+
+@pytest.mark.parametrize("chunk", [200_000, 3])
+def test_scores_equal_plain_ones(spark, monkeypatch, chunk):
+    monkeypatch.setattr(language_id, "_CHUNK", chunk)
+    monkeypatch.setattr(language_id, "_KEPT", chunk)
+    rng = random.Random(5)
+    letters = {"aa": "abcdé", "bb": "abxyz", "cc": "कखािी"}
+    rows = []
+    for i in range(90):
+        lang = ["aa", "bb", "cc"][i % 3]
+        rows.append((i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "-1", "'s"]) for _ in range(rng.randint(1, 12))), lang))
+    rows += [(900, "Abxé zzzz q! 9", None), (901, "y" * 300, "bb"), (902, "a" * 70 + " ½", None), (903, "", "aa"), (904, None, "aa"), (905, "一 Ⅷ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    train = df.filter("doc_id % 4 <> 2")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(df, fit(train)).collect()}
+    want = plain_predictions([(t, x) for i, t, x in rows if i % 4 != 2 and x is not None], [t for _, t, _ in rows])
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, rel=1e-4)
 
 
 def test_quality_learns_and_keeps(spark):

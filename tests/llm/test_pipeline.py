@@ -39,7 +39,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         kept[name] = docs.collect()
-    want = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    want = [(i, t, x or "xx", *rest) for i, t, x, *rest in rows if any(c.isalpha() for c in t or "")]
     assert sorted(kept["language_id"], key=lambda r: r.doc_id) == sorted(want, key=lambda r: r[0])
     first = {}
     for r in want:
@@ -58,3 +58,13 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sum(r.length for r in kept["pack"]) == sum(map(len, ids))
     assert Counter(r.doc_id for r in kept["pack"] if r.start == 0) == Counter(r.doc_id for r in kept["mix"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["pack"])
+
+
+def test_pipeline_takes_empty_tables_and_clashing_names(spark, tmp_path):
+    rows = fixture(tmp_path, spark)
+    own = f"{SCHEMA}, score double, _id long, label string, c1 int, kept boolean"
+    for name, some in (("empty", []), ("clash", [(*r, 1.0, 7, "x", 2, False) for r in rows[:60]])):
+        docs = spark.createDataFrame(some, own)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        left = corpus_pipeline.run(spark, f"{tmp_path}/{name}").count()
+        assert (left > 0) == bool(some)
