@@ -6,34 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import Scratch
 from weftline.llm.exact_dedup import drop_exact
-from weftline.llm.language_id import drop_unidentified, fit
+from weftline.llm.language_id import fit, label_languages
 from weftline.llm.mixing import mixed_documents
 from weftline.llm.near_dedup import drop_near
 from weftline.llm.packing import pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter go."""
-    return drop_unidentified(docs, fit(docs))
+    """Documents whose text has a language; those without a letter, empty and null ones go. A null lang is filled in.
+
+    Without any label all texts with a letter stay. Equal rows are all kept. Other columns stay as they are; an empty
+    table stays empty, as in all stages.
+    """
+    return label_languages(docs, fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id."""
+    """Of equal texts, the one with the smallest doc_id, one row of it where it is repeated; null counts as empty text. All columns stay."""
     return drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more over five words in a row, the one with the smallest doc_id."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more over five words in a row, the one with the smallest doc_id.
+
+    Texts without words and rows with a null id are linked with nothing and stay. All columns stay.
+    """
     return drop_near(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's share of the mix takes them; a shard's last one perhaps in part."""
+    """Documents as often as their source's share of the mix takes them; a shard's last one perhaps in part.
+
+    A null source is a source, a text without words is never taken, and ties of the drawing order go by id. All columns
+    stay.
+    """
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences of 1024 ids."""
+    """The pieces of training sequences of 1024 ids; a null text counts as empty and gives its end id. Repeated rows are packed each."""
     return pack_documents(docs)
 
 
