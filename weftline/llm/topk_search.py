@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, open_shared, write_shared
 
-#: Queries in one block; a block's vectors are what every task gets.
-BLOCK = 8192
+#: Queries in one block, and rows in one chunk; a task compares a block with a chunk.
+BLOCK, CHUNK = 8192, 1 << 16
 _NONE = -(2**63) + 1
 
 
@@ -38,6 +39,7 @@ class Searcher:
         self.stats = [segment_stats(vectors.astype(float), n) for n in self.levels]
         self.best = np.zeros((len(ids), 0), np.int64)
         self.who = np.zeros((len(ids), 0), np.int64)
+        self.pairs = self.computed = 0
 
     def _dot(self, a, b):
         """Inner products, exact as integers."""
@@ -56,6 +58,7 @@ class Searcher:
 
     def _add(self, ids, x, np) -> None:
         full = self.best.shape[1] >= self.k
+        self.pairs += len(self.ids) * len(ids)
         alive = np.ones((len(self.ids), len(ids)), bool)
         if full:
             floor = self.best[:, -1:].astype(float)
@@ -69,6 +72,7 @@ class Searcher:
         rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         if not len(rows) or not len(cols):
             return
+        self.computed += len(rows) * len(cols)
         score = self._dot(self.x[rows], x[cols])
         least = _NONE
         score[~alive[np.ix_(rows, cols)] | (self.ids[rows][:, None] == ids[cols][None, :])] = least
@@ -98,32 +102,32 @@ class Searcher:
                     yield q, w, s
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, scale: float = 64.0, levels: Sequence[int] = (2, 4, 8, 16), block: int = BLOCK) -> DataFrame:
+def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, scale: float = 64.0, levels: Sequence[int] = (2, 4, 8, 16), block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by query_every, its k best other rows.
 
     Components become floor(scale * x). The score is the inner product of two such vectors; ties go to the smaller id.
-    All rows are searched, a block of queries at a time: a task keeps each query's best k so far and passes over rows
-    whose bound by segment means and deviations is below the worst of them, coarse segments first; the rows left are
-    computed exactly. A shorter vector counts as padded with zeros. Null vectors, those with a null or non-finite
-    component and rows without an id take no part. Rows that repeat an id are searched each, but none answers a query of
-    its own id. An empty table gives an empty result. Other columns are not read.
+    All rows are searched. Queries lie in blocks and rows in chunks, in files of the shared folder, and a task takes one
+    of each: it keeps each query's best k so far and passes over rows whose bound by segment means and deviations is
+    below the worst of them, coarse segments first; the rows left are computed exactly. The driver sees numbers of files
+    only. A shorter vector counts as padded with zeros. Null vectors, those with a null or non-finite component and rows
+    without an id take no part. Rows that repeat an id are searched each, but none answers a query of its own id. An
+    empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "topk")
     x = F.transform(F.col("_v"), lambda v: v.cast("double"))
     bad = F.exists(F.col("_v"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).withColumn("_v", x).filter(F.col("_id").isNotNull() & F.col("_v").isNotNull() & ~bad)
-    rows = scratch.table(rows.select("_id", F.transform("_v", lambda v: F.floor(v * scale)).alias("_v"), (F.col("_id") % query_every == 0).alias("_query")), "vectors")
-    width, queries = rows.agg(F.max(F.size("_v")), F.count_if("_query")).first()
-    width = max(width or 0, 1)
-    numbered = rows.filter("_query").select("_id", "_v").withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(max(-(-queries // block), 1))))
-    if queries > block:
-        numbered = scratch.table(numbered.repartition("_block"), "queries")
-    found = None
-    for n in range(max(-(-queries // block), 1)):
-        part = numbered.filter(F.col("_block") == n).select("_id", "_v").toArrow()
-        mine = _search(rows, part, width, k, list(levels))
-        found = mine if found is None else found.unionAll(mine)
+    rows = rows.select("_id", F.transform("_v", lambda v: F.floor(v * scale)).alias("_v"))
+    folder = scratch.folder("vectors")
+    chunks = scratch.table(_write(rows, folder, chunk), "chunks")
+    queries = rows.filter(F.col("_id") % query_every == 0)
+    total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(1, -(-total // (block * query_every)))  # about the number of blocks, if ids are even
+    blocks = scratch.table(_write(queries.repartition(most, F.xxhash64("_id")), folder, block), "blocks")
+    jobs = chunks.select(F.col("file").alias("rows"), "width").crossJoin(blocks.select(F.col("file").alias("queries"), F.col("width").alias("_w")))  # of files
+    jobs = scratch.table(jobs.select("rows", "queries", F.greatest("width", "_w").alias("width")), "jobs")
+    found = _search(jobs.repartition(max(1, min(jobs.count(), 100_000))), k, list(levels))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -141,26 +145,63 @@ def _matrix(vectors, width: int):
     return out
 
 
-def _search(rows: DataFrame, queries, width: int, k: int, levels: list[int]) -> DataFrame:
+def _write(rows: DataFrame, folder: str, most: int) -> DataFrame:
+    """(file, n, width) of files with up to most rows (id, vector) each: ids, then a matrix as wide as the longest vector."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def close():
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, vectors = (table.column(i).combine_chunks() for i in (0, 1))
+            width = max(int(np.diff(np.asarray(vectors.offsets)).max()), 1)
+            path = f"{folder}/{uuid.uuid4().hex}"
+            write_shared(path, [np.array([len(ids), width], "<i8").tobytes(), np.asarray(ids).astype("<i8").tobytes(), _matrix(vectors, width).astype("<i8").tobytes()])
+            return pa.RecordBatch.from_pydict({"file": [path], "n": [len(ids)], "width": [width]})
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, most - size)
+                held.append(part)
+                at, size = at + part.num_rows, size + part.num_rows
+                if size == most:
+                    yield close()
+                    held, size = [], 0
+        if held:
+            yield close()
+
+    return rows.mapInArrow(work, "file string, n long, width long")
+
+
+def _read(path: str, width: int):
+    """(ids, vectors) of a file, padded to width."""
     import numpy as np
 
-    ids = np.asarray(queries.column(0).combine_chunks()).astype(np.int64)
-    x = _matrix(queries.column(1).combine_chunks(), width) if len(ids) else np.zeros((0, width), np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast((ids, x))
+    system, path = open_shared(path)
+    with system.open_input_stream(path) as f:
+        data = np.frombuffer(f.read(), "<i8")
+    n, own = int(data[0]), int(data[1])
+    x = data[2 + n :].reshape(n, own)
+    return data[2 : 2 + n], x if own == width else np.hstack([x, np.zeros((n, width - own), np.int64)])
 
+
+def _search(jobs: DataFrame, k: int, levels: list[int]) -> DataFrame:
     def search(batches):
         import pyarrow as pa
 
-        own_ids, own = sent.value
-        searcher = Searcher(own_ids, own, k, levels)
         for b in batches:
-            if b.num_rows and len(own_ids):
-                searcher.add(np.asarray(b.column(0)).astype(np.int64), _matrix(b.column(1), width))
-        out = list(searcher.rows())
-        for at in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000], strict=True)], names=["query_id", "vec_id", "score"])
-
-    return rows.select("_id", "_v").mapInArrow(search, "query_id long, vec_id long, score long")
+            for job in b.to_pylist():
+                searcher = Searcher(*_read(job["queries"], job["width"]), k, levels)
+                searcher.add(*_read(job["rows"], job["width"]))
+                out = list(searcher.rows())
+                for at in range(0, len(out), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000], strict=True)], names=["query_id", "vec_id", "score"])
+
+    return jobs.mapInArrow(search, "query_id long, vec_id long, score long")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
