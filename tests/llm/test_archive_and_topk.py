@@ -5,9 +5,10 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
-from weftline.llm.topk_search import top_k
+from weftline.llm.topk_search import Searcher, top_k
 from weftline.llm.web_archive import LoserTree, archive_pages, build_archives, parse_record, url_key
 
 
@@ -18,9 +19,20 @@ def test_loser_tree_merges():
         assert list(LoserTree(iter(r) for r in runs)) == sorted(x for r in runs for x in r)
 
 
-def test_url_key():
-    assert url_key("https://www.Example.com:8080/A?b=1#c") == "com,example:8080)/a?b=1"
-    assert url_key(None) == "" and url_key("http://a.b") == "b,a)/"
+def test_url_key(spark):
+    known = {"https://www.Example.com:8080/A?b=1#c": "com,example:8080)/a?b=1", None: "", "http://a.b": "b,a)/", "Mailto:x": "mailto:x", "//u:p@H/": "h)/", "": ""}
+    df = spark.createDataFrame([(x,) for x in known], "url string")
+    assert {r.url: r.key for r in df.select("url", url_key(df["url"]).alias("key")).collect()} == known
+
+
+def test_text_ids_are_merged_in_the_order_of_the_runs(spark):
+    ids = [str(i) for i in range(40)] + ["a1", "b", "10x", None]
+    df = spark.createDataFrame([(i, "http://same.org/", f"p{i}") for i in ids], "page_id string, url string, html string").repartition(6)
+    histories, _, _ = build_archives(df, fan_in=2)
+    rows = sorted(histories.collect(), key=lambda r: (r.range, r.place))
+    keys = [(r.stamp, int(r.page) if r.page.isdigit() else -1, r.page) for r in rows]
+    assert keys == sorted(keys) and len(rows) == len(ids)
+    assert sorted(map(str, (r.page_id for r in archive_pages(df).collect()))) == sorted(map(str, ids))
 
 
 PAGES = [(i, f"http://h{i % 3}.example.com/p {i % 7}", ["same", "x" * 70_000, None, "", f"own {i}"][min(i % 6, 4)], "clash") for i in range(60)] + [(None, None, "same", "c"), (None, "u", "alone", "c"), (5, "u", "own 5", "c")]
@@ -65,13 +77,22 @@ def brute(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size,block", [(0, 8192), (7, 8192), (700, 8192), (700, 9)])
-def test_top_k(spark, size, block):
+@pytest.mark.parametrize("size,block,chunk", [(0, 8192, 65536), (7, 8192, 65536), (700, 8192, 65536), (700, 9, 150)])
+def test_top_k(spark, size, block, chunk):
     rng = random.Random(size)
     rows = [(i, [round(rng.gauss(0, 1) + (i % 5 == 0), 1) for _ in range(24)]) for i in range(size)]
     if size:
         rows[3:6] = [(3, None), (4, [None] * 24), (5, [math.nan] * 24)]
         rows += [(1000 + i, [0.5] * 24) for i in range(40)] + [(2000, [9.0] * 5), (None, [1.0] * 24)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = sorted(tuple(r) for r in top_k(df, block=block).collect())
+    got = sorted(tuple(r) for r in top_k(df, block=block, chunk=chunk).collect())
     assert got == brute(rows, 20, 20)
+
+
+def test_bounds_pass_over_most_rows_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 40, (30, 32))
+    x = np.floor(centres[rng.integers(0, 30, 6000)] + rng.normal(0, 4, (6000, 32))).astype(np.int64)
+    searcher = Searcher(np.arange(40) * 20, x[:800:20], 20, (2, 4, 8, 16))
+    searcher.add(np.arange(6000), x)
+    assert searcher.pairs == 40 * 6000 and searcher.computed < searcher.pairs / 2

@@ -8,27 +8,34 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from datetime import datetime, timedelta, timezone
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, attach_groups, open_shared, write_shared
 
 _KEYS = ["_sha1", "_hash", "_bytes"]
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
-_HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", re.I)
+#: Bytes of archives that a task reads back.
+READ_BYTES = 32 << 20
+_HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)"
+_NUMBER = r"^-?[0-9]{1,37}$"
+_DIGITS = re.compile(_NUMBER.encode())
 
 
-def url_key(url: str | None) -> str:
+def url_key(url: Column) -> Column:
     """Host labels reversed and joined by commas, then the rest, lower-cased: com,example)/path?query. No URL: empty."""
-    found = _HOST.match(url or "")
-    if not found:
-        return (url or "").lower()
-    host, port, rest = found.groups()
-    return f"{','.join(reversed(host.lower().removeprefix('www.').split('.')))}{port or ''}){rest.lower() or '/'}"
+    url = F.coalesce(url, F.lit(""))
+    host, port, rest = (F.regexp_extract(url, _HOST, i) for i in (1, 2, 3))
+    labels = F.split(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.")
+    key = F.concat(F.array_join(F.reverse(labels), ","), port, F.lit(")"), F.when(rest == "", F.lit("/")).otherwise(F.lower(rest)))
+    return F.when(url.rlike(_HOST), key).otherwise(F.lower(url))
+
+
+def _number(page: Column) -> Column:
+    """An id as a number, null where its text is none; a table's ids are all numbers or all texts."""
+    return F.when(page.cast("string").rlike(_NUMBER), page.cast("string").cast("decimal(38,0)"))
 
 
 class LoserTree:
@@ -99,7 +106,7 @@ def _line(key: str, stamp: str, page: str, file: str, at: int, size: int) -> byt
 
 def _order(line: bytes) -> tuple:
     key, stamp, page = line.split(b" ", 3)[:3]
-    return key, stamp, int(page[1:]) if page[1:].lstrip(b"-").isdigit() else -1, page
+    return key, stamp, int(page[1:]) if _DIGITS.match(page[1:]) else -1, page
 
 
 def _run_parts(lines: Iterable[bytes], bounds: list[tuple[bytes, bytes]]) -> Iterator[bytes]:
@@ -159,27 +166,31 @@ def write_archives(pages: DataFrame, folder: str, bounds: list[tuple[bytes, byte
     return pages.mapInArrow(write, "part long, warc string, run string")
 
 
-def merge_runs(scratch: Scratch, runs: list[str], ranges: int, fan_in: int) -> DataFrame:
-    """Capture histories in global order: (range, place, key, stamp, page, file, at, size), from sorted index runs.
+def merge_runs(scratch: Scratch, parts: DataFrame, ranges: int, fan_in: int) -> DataFrame:
+    """Capture histories in global order: (range, place, key, stamp, page, file, at, size), from sorted index runs (part, run).
 
     While there are over fan_in runs, groups of fan_in are merged into longer runs, one task a group and range; then one
-    task a range merges what is left. A task holds a chunk of each of its runs.
+    task a range merges what is left. A task holds a chunk of each of its runs; runs are listed in tables only.
     """
-    spark, level = scratch.spark, 0
-    folder = scratch.folder("merged")
-    runs = [[r] * ranges for r in runs]  # of a run: the file of each range
-    while len(runs) > fan_in:
+    level, folder = 0, scratch.folder("merged")
+    runs = parts.select(F.col("part").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))).alias("n"), F.col("run").alias("path"))
+    most = parts.agg(F.coalesce(F.max("part"), F.lit(-1))).first()[0] + 1  # a run has a number below this
+
+    def jobs(group):
+        """(g, n, paths): up to fan_in runs each."""
+        todo = runs.groupBy(group.cast("long").alias("g"), "n").agg(F.sort_array(F.collect_list(F.struct("g", "path"))).alias("_r")).select("g", "n", F.col("_r.path").alias("paths"))
+        return todo.repartition(max(1, min(ranges * max(-(-most // fan_in), 1), 100_000)), "g", "n")
+
+    while most > fan_in:
         level += 1
-        groups = [runs[i : i + fan_in] for i in range(0, len(runs), fan_in)]
-        jobs = [(g, n, [r[n] for r in group], level) for g, group in enumerate(groups) for n in range(ranges)]
 
         def merge(batches, level=level):
             import pyarrow as pa
 
             for b in batches:
                 for job in b.to_pylist():
-                    path = f"{folder}/run-{level}-{job['g']:06d}-{job['n']:06d}.cdx"
                     n = job["n"]
+                    path = f"{folder}/run-{level}-{job['g']:06d}-{n:06d}.cdx"
                     tree = LoserTree(((_order(x), x) for x in _read_range(p, n)) for p in job["paths"])
 
                     def parts(tree=tree, n=n):
@@ -193,9 +204,8 @@ def merge_runs(scratch: Scratch, runs: list[str], ranges: int, fan_in: int) -> D
                     write_shared(path, parts())
                     yield pa.RecordBatch.from_pydict({"g": [job["g"]], "n": [n], "path": [path]})
 
-        done = spark.createDataFrame(jobs, "g long, n long, paths array<string>, level long").repartition(len(jobs), "g", "n").mapInArrow(merge, "g long, n long, path string")
-        found = {(r.g, r.n): r.path for r in scratch.table(done, f"level{level}").collect()}
-        runs = [[found[g, n] for n in range(ranges)] for g in range(len(groups))]
+        runs = scratch.table(jobs(F.floor(F.col("g") / fan_in)).mapInArrow(merge, "g long, n long, path string"), f"level{level}")
+        most = -(-most // fan_in)
 
     def last(batches):
         import pyarrow as pa
@@ -207,15 +217,13 @@ def merge_runs(scratch: Scratch, runs: list[str], ranges: int, fan_in: int) -> D
                     key, stamp, page, file, at, size = line.decode().rstrip("\n").rsplit(" ", 5)
                     rows.append((job["n"], place, key, stamp, page[1:], file, int(at), int(size)))
                     if len(rows) == 20_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
     names = ["range", "place", "key", "stamp", "page", "file", "at", "size"]
-    jobs = [(n, [r[n] for r in runs]) for n in range(ranges)]
-    todo = spark.createDataFrame(jobs, "n long, paths array<string>").repartition(max(ranges, 1), "n")
-    return todo.mapInArrow(last, "range long, place long, key string, stamp string, page string, file string, at long, size long")
+    return jobs(F.lit(0)).mapInArrow(last, "range long, place long, key string, stamp string, page string, file string, at long, size long")
 
 
 def build_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, least_bytes: int = 0, fan_in: int = 64) -> tuple[DataFrame, str, Scratch]:
@@ -225,31 +233,30 @@ def build_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     date = F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"\s", "%20"), F.lit("")).alias("_url"), date.alias("_date"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("_payload"))
     rows = rows.withColumns({"_sha1": F.unhex(F.sha1("_payload")), "_hash": F.xxhash64("_payload"), "_bytes": F.octet_length("_payload"), "_salt": F.xxhash64("_id", "_url")})
-    dated = F.pandas_udf(lambda s: s.map(_date), "string")
-    rows = rows.withColumn("_date", F.coalesce("_date", dated(F.coalesce(F.col("_id").cast("string"), F.lit("")))))
+    rows = rows.withColumn("_date", F.coalesce("_date", _date(F.col("_id"))))
     narrow = scratch.table(rows.select("_id", "_url", "_date", *_KEYS), "narrow")
     total = narrow.count()
     groups = scratch.table(narrow.filter(F.col("_bytes") >= least_bytes).groupBy(*_KEYS).agg(F.max("_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
-    keyed = F.pandas_udf(lambda s: s.map(url_key), "string")
     parts = max(1, min(total // 2000 + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # bounds of the index's ranges, from a sample of at most about 20,000 keys; they only balance the ranges
-    sample = narrow.select(keyed("_url").alias("key"), "_date").sample(min(1.0, 20_000 / max(total, 1)), 7)
+    sample = narrow.select(url_key(F.col("_url")).alias("key"), "_date").sample(min(1.0, 20_000 / max(total, 1)), 7)
     cuts = sorted((r.key.encode(), _stamp(r._date)) for r in sample.collect())
     bounds = sorted({cuts[len(cuts) * i // parts] for i in range(1, parts)}) if cuts else []
     rows = attach_groups(rows, groups, _KEYS, "_salt", total)
-    rows = rows.withColumn("_key", keyed("_url"))
+    rows = rows.withColumn("_key", url_key(F.col("_url")))
     rows = rows.select("_id", "_url", "_date", "_payload", F.lower(F.hex("_sha1")).alias("_sha1"), "_bytes", "first", "_key")
-    rows = rows.sortWithinPartitions("_key", "_date", "_id")
+    rows = rows.sortWithinPartitions("_key", "_date", F.coalesce(_number(F.col("_id")), F.lit(-1)), F.coalesce(F.col("_id").cast("string"), F.lit("None")))
     folder = scratch.folder("archives")
-    runs = sorted(r.run for r in scratch.table(write_archives(rows, folder, bounds), "parts").select("run").collect())
+    written = scratch.table(write_archives(rows, folder, bounds), "parts")
     scratch.drop("narrow")
-    return scratch.table(merge_runs(scratch, runs, len(bounds) + 1, fan_in), "histories"), folder, scratch
+    return scratch.table(merge_runs(scratch, written, len(bounds) + 1, fan_in), "histories"), folder, scratch
 
 
-def _date(page: str) -> str:
-    """A capture without a date gets the first second of 2020 plus its id's seconds, within 30 years."""
-    n = int(page) % (30 * 365 * 86400) if page.lstrip("-").isdigit() else 0
-    return (_EPOCH + timedelta(seconds=n)).strftime("%Y-%m-%dT%H:%M:%SZ")
+def _date(page: Column) -> Column:
+    """A capture without a date gets the first second of 2020 plus its id's seconds, within 30 years; 2020 itself, where the id is no number."""
+    n = F.coalesce(F.pmod(_number(page), F.lit(30 * 365 * 86400)), F.lit(0)).cast("int")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.floor(n / 86400).cast("int")).cast("string")
+    return F.format_string("%sT%02d:%02d:%02dZ", day, F.floor(n / 3600) % 24, F.floor(n / 60) % 60, n % 60)
 
 
 def _stamp(date: str) -> bytes:
@@ -282,7 +289,10 @@ def read_captures(histories: DataFrame, folder: str) -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers", "url", "range", "place"])
 
-    todo = histories.select("file", "at", "size", "range", "place").repartition("file").sortWithinPartitions("file", "at")
+    tasks = histories.agg(F.coalesce(F.sum("size"), F.lit(0)) / READ_BYTES, F.count_distinct("file")).first()
+    wide = int(histories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by the archives' bytes, not by those of their index
+    todo = histories.select("file", "at", "size", "range", "place").repartition(max(1, int(tasks[0]), min(tasks[1], wide)), "file").sortWithinPartitions("file", "at")
     return todo.mapInArrow(read, "page string, payload_bytes long, payload_digest string, record_type string, refers string, url string, range long, place long")
 
 
