@@ -6,8 +6,9 @@ import unicodedata
 from collections import Counter
 
 import pytest
+import xxhash
 
-from weftline.llm import language_id
+from weftline.llm import language_id, quality
 from weftline.llm.language_id import Model, fit, identify, label_languages
 from weftline.llm.quality import score_quality, site_posteriors
 
@@ -155,3 +156,80 @@ def test_sparse_sites_shrink(spark):
     assert prior < got["small", "r"].host_rate <= got["small", "r"].path_rate < 1
     assert got["big", "q"].path_rate < got["big", "p"].path_rate
     assert set(got) == {("big", "p"), ("big", "q"), ("small", "r"), ("bare", "s"), (None, None)}
+
+
+def plain_quality(rows, labels, fold):
+    """Scores of (id, text, host, path) with dictionaries; fold: of each labelled id."""
+
+    def features(text):
+        runs, kind = [], None
+        for c in (text or "").lower():
+            now = "l" if c.isalpha() else "d" if c.isdigit() else None if c.isspace() else "s"
+            if now and now == kind:
+                runs[-1] += c
+            elif now:
+                runs.append(c)
+            kind = now
+        return [xxhash.xxh32_intdigest(x) % quality.FEATURES for x in runs]
+
+    def weights(without):
+        n = [Counter(), Counter()]
+        for i, t, _, _ in rows:
+            if i in labels and fold[i] != without:
+                n[labels[i]].update(features(t))
+        total = [sum(c.values()) + 0.5 * quality.FEATURES for c in n]
+        return lambda f: math.log((n[1][f] + 0.5) / total[1] / ((n[0][f] + 0.5) / total[0]))
+
+    known = {f: weights(f) for f in [*range(quality.FOLDS), None]}
+    evidence = []
+    for i, t, _, _ in rows:
+        found = [known[fold.get(i)](f) for f in features(t)]
+        evidence.append(sum(found) / len(found) if found else 0.0)
+    y = [labels.get(r[0]) for r in rows]
+    of = [[e for e, v in zip(evidence, y, strict=True) if v == c] for c in (0, 1)]
+    mean = [sum(x) / len(x) for x in of]
+    var = sum((e - mean[c]) ** 2 for c in (0, 1) for e in of[c]) / sum(map(len, of))
+
+    def sites(key):
+        n, good = Counter(), Counter()
+        for r, v in zip(rows, y, strict=True):
+            n[key(r)] += v is not None
+            good[key(r)] += v or 0
+        return n, good
+
+    def strength(n, good, centre):
+        all_n = sum(n.values())
+        spread = sum(n[s] * (good[s] / n[s] - centre(s)) ** 2 for s in n if n[s]) / all_n
+        noise = sum(centre(s) * (1 - centre(s)) for s in n if n[s]) / all_n
+        level = sum(n[s] * centre(s) * (1 - centre(s)) for s in n if n[s]) / all_n
+        return min(max(level / max(spread - noise, 1e-9), 1), 1000)
+
+    hosts, paths = sites(lambda r: r[2]), sites(lambda r: (r[2], r[3]))
+    prior = (sum(hosts[1].values()) + 1) / (sum(hosts[0].values()) + 2)
+    a = strength(*hosts, lambda s: prior)
+    b = strength(*paths, lambda s: (hosts[1][s[0]] + a * prior) / (hosts[0][s[0]] + a))
+    for r, e, v in zip(rows, evidence, y, strict=True):
+        one, own, site = v is not None, v or 0, (r[2], r[3])
+        host = (hosts[1][r[2]] - own + a * prior) / (hosts[0][r[2]] - one + a)
+        p = (paths[1][site] - own + b * host) / (paths[0][site] - one + b)
+        odds = (e - sum(mean) / 2) * (mean[1] - mean[0]) / var
+        yield 1 / (1 + math.exp(-min(max(odds, -30), 30) - math.log(p / (1 - p))))
+
+
+def test_quality_equals_plain_scores(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        good = rng.random() < (0.8 if i % 3 else 0.3)
+        text = " ".join(rng.choice(["alpha", "beta", "Gamma2", "x-y", "!!!" if not good else "delta", "z%d" % rng.randint(0, 40)]) for _ in range(rng.randint(0, 12)))
+        rows.append((i, text, [None, "h1", "h2"][i % 3], [None, "p", "q"][i % 4 % 3], int(good)))
+    rows += [(500, None, "h1", "p", 0), (501, "tie", "h9", "p", 0), (501, "tie", "h9", "p", 0), (None, "alpha", "h1", "p", 0)]
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    labels = {i: y for i, _, _, _, y in rows if i is not None and i < 150 and i % 2}
+    lab = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    fold = {r.doc_id: r.fold for r in lab.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 3), {quality.FOLDS}) AS fold").collect()}
+    got = sorted(((r.doc_id, r.score) for r in score_quality(df, lab).collect()), key=str)
+    want = sorted(((r[0], s) for r, s in zip(rows, plain_quality([r[:4] for r in rows], labels, fold), strict=True)), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9)
+    assert len({s for i, s in got if i == 501}) == 1

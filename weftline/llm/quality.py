@@ -13,6 +13,8 @@ from weftline.llm.common import Scratch, attach_groups
 
 #: The word weights are fitted on about this many labelled rows, chosen by a hash of the id, or on all where fewer.
 MOST_TRAINING_ROWS = 20_000
+#: Rows that the weights are fitted on get their own evidence from weights of the other folds.
+FOLDS = 5
 #: Words and runs of symbols are hashed to so many features; the model is one number each.
 FEATURES = 1 << 16
 _RUN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
@@ -47,35 +49,38 @@ class _Evidence(dict):
 
 
 def fit_weights(labelled: DataFrame):
-    """log(P(feature | 1) / P(feature | 0)) by feature, from (text, y); counting is grouped by feature."""
+    """log(P(feature | 1) / P(feature | 0)) by feature, from (text, y, fold); counting is grouped by feature.
+
+    Row f, below FOLDS, leaves out the texts of fold f; the last row is of all.
+    """
     import numpy as np
 
     def count(batches):
         import pyarrow as pa
 
-        table = np.zeros((2, FEATURES), np.int64)
+        table = np.zeros((FOLDS, 2, FEATURES), np.int64)
         for b in batches:
-            words: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words[y].update((text or "").split())
-            for y in (0, 1):
-                for token, n in words[y].items():
+            words: dict[tuple[int, int], Counter] = {}
+            for text, y, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words.setdefault((fold, y), Counter()).update((text or "").split())
+            for (fold, y), found in words.items():
+                for token, n in found.items():
                     for f in features(token):
-                        table[y, f] += n
-        seen = np.flatnonzero(table.any(0))
-        if len(seen):
-            yield pa.RecordBatch.from_pydict({"feature": seen, "zero": table[0, seen], "one": table[1, seen]})
+                        table[fold, y, f] += n
+        at = np.nonzero(table)
+        if len(at[0]):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in at), pa.array(table[at])], names=["fold", "y", "feature", "n"])
 
-    counts = labelled.mapInArrow(count, "feature long, zero long, one long").groupBy("feature").agg(F.sum("zero"), F.sum("one")).toArrow()
-    table = np.zeros((2, FEATURES))
-    at = np.asarray(counts.column(0)).astype(np.int64)
-    table[0, at], table[1, at] = np.asarray(counts.column(1)), np.asarray(counts.column(2))
-    p = (table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * FEATURES)
-    return np.log(p[1] / p[0])
+    counts = labelled.select("_text", "y", "fold").mapInArrow(count, "fold long, y long, feature long, n long").groupBy("fold", "y", "feature").agg(F.sum("n")).toArrow()
+    table = np.zeros((FOLDS, 2, FEATURES))
+    table[tuple(np.asarray(counts.column(i)).astype(np.int64) for i in range(3))] = np.asarray(counts.column(3))
+    table = np.concatenate([table.sum(0) - table, table.sum(0)[None]])
+    p = (table + 0.5) / (table.sum(2, keepdims=True) + 0.5 * FEATURES)
+    return np.log(p[:, 1] / p[:, 0])
 
 
 def site_posteriors(rows: DataFrame) -> DataFrame:
-    """(host, path, prior, host_rate, path_rate, labelled, good) from rows of (host, path, y), y null where not known.
+    """(host, path, prior, host_rate, path_rate, and what a row's own label is left out of them with) from rows of (host, path, y), y null where not known.
 
     Beta-binomial by moments: the rates of hosts vary around the global rate, and those of paths around their host's;
     the variance between them beyond what sampling gives sets how many rows' worth the level above counts. A site with
@@ -85,56 +90,63 @@ def site_posteriors(rows: DataFrame) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     prior = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("prior"))
 
-    def strength(sites: DataFrame, centre: str) -> DataFrame:
+    def strength(sites: DataFrame, centre: str, name: str) -> DataFrame:
         """Rows that the level above counts as: between 1 and 1000."""
         rate, n = F.col("good") / F.col("n"), F.col("n")
         spread = F.sum(n * F.pow(rate - F.col(centre), 2)) / F.sum(n)
         noise = F.sum(F.col(centre) * (1 - F.col(centre))) / F.sum(n)
         level = F.sum(n * F.col(centre) * (1 - F.col(centre))) / F.sum(n)
         k = F.try_divide(level, F.greatest(spread - noise, F.lit(1e-9)))
-        return sites.filter("n > 0").agg(F.least(F.greatest(F.coalesce(k, F.lit(1000.0)), F.lit(1.0)), F.lit(1000.0)).alias("_k"))
+        return sites.filter("n > 0").agg(F.least(F.greatest(F.coalesce(k, F.lit(1000.0)), F.lit(1.0)), F.lit(1000.0)).alias(name))
 
     hosts = hosts.crossJoin(F.broadcast(prior))  # one row
-    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "prior")))  # one row
-    hosts = hosts.select("host", "prior", ((F.col("good") + F.col("_k") * F.col("prior")) / (F.col("n") + F.col("_k"))).alias("host_rate"))
+    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "prior", "host_strength")))  # one row
+    hosts = hosts.select("host", "prior", "host_strength", F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + F.col("host_strength") * F.col("prior")) / (F.col("n") + F.col("host_strength"))).alias("host_rate"))
     paths = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    paths = paths.crossJoin(F.broadcast(strength(paths, "host_rate")))  # one row
-    return paths.select("host", "path", "prior", "host_rate", ((F.col("good") + F.col("_k") * F.col("host_rate")) / (F.col("n") + F.col("_k"))).alias("path_rate"), F.col("n").alias("labelled"), "good", F.col("_k").alias("strength"), "rows")
+    paths = paths.crossJoin(F.broadcast(strength(paths, "host_rate", "strength")))  # one row
+    rate = (F.col("good") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))
+    return paths.select("host", "path", "prior", "host_strength", "host_n", "host_good", "host_rate", rate.alias("path_rate"), F.col("n").alias("labelled"), "good", "strength", "rows")
 
 
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5, most_rows: int = MOST_TRAINING_ROWS) -> DataFrame:
     """id_col, evidence, host_rate, path_rate, score, keep for every row of df.
 
-    evidence is the text's mean word weight. Two normal distributions, one a class, by grouped moments over all labelled
-    rows, make log odds of it; the log odds of the path's posterior against the global rate are added. A row's own label
-    is left out of its path's posterior. score is the probability of label 1; keep: score >= threshold.
+    evidence is the text's mean word weight; a row that the weights are fitted on gets it from weights fitted on the
+    other folds. Two normal distributions, one a class, by grouped moments over all labelled rows, make log odds of it;
+    the log odds of the path's posterior are added. A row's own label is left out of its host's and its path's counts
+    there. score is the probability of label 1; keep: score >= threshold.
 
     Labels other than 0 and 1 are ignored; an id labelled more than once counts by its larger label. Null hosts and paths
     are a host and a path. A null or empty text has evidence 0; without labels every score is the global rate of 0.5.
-    Rows that repeat an id are scored each. Whole texts count. An empty table gives an empty result. Other columns are
-    not read.
+    Rows that repeat an id are scored each, ties get equal scores, null ids have no label. Whole texts count. An empty
+    table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "quality")
     labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter("_id IS NOT NULL AND y IN (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     labels = scratch.table(labels, "labels")
     share = min(1.0, most_rows / max(labels.count(), 1))
-    some = labels.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labels
+    drawn = F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) / float(1 << 52)
+    some = labels.filter(drawn < share).withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(FOLDS)).cast("long"))
+    some = scratch.table(some, "some")
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
-    weights = fit_weights(rows.join(F.broadcast(some), "_id").select("_text", "y"))  # about most_rows rows at most
+    rows = rows.join(F.broadcast(some.withColumnRenamed("y", "_y")), "_id", "left")  # about most_rows rows at most
+    weights = fit_weights(rows.filter("fold IS NOT NULL").select("_text", F.col("_y").alias("y"), "fold"))
     sent = spark.sparkContext.broadcast(weights)
-    kind = rows.dtypes[0][1]
 
     def weigh(batches):
         import pyarrow as pa
 
-        evidence = _Evidence(sent.value)
+        evidence = [_Evidence(w) for w in sent.value]
         for b in batches:
-            found = [evidence.of(t) for t in b.column(1).to_pylist()]
+            found = [evidence[FOLDS if f is None else f].of(t) for t, f in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64()), b.column(2), b.column(3)], names=["_id", "evidence", "host", "path"])
 
-    seen = scratch.table(rows.mapInArrow(weigh, f"_id {kind}, evidence double, host string, path string"), "evidence")
-    seen = scratch.table(seen.join(labels, "_id", "left"), "labelled")
+    rows = rows.select("_id", "_text", "host", "path", "fold")
+    seen = scratch.table(rows.mapInArrow(weigh, f"_id {rows.dtypes[0][1]}, evidence double, host string, path string").withColumn("_salt", F.xxhash64("_id", "evidence")), "evidence")
+    total = seen.count()
+    seen = attach_groups(seen, labels.withColumn("n", F.lit(1).cast("long")), ["_id"], "_salt", total).drop("n")  # null ids are dealt out
+    seen = scratch.table(seen, "labelled")
     scratch.drop("evidence")
     shape = seen.filter("y IS NOT NULL").groupBy("y").agg(F.avg("evidence").alias("mean"), F.coalesce(F.var_pop("evidence"), F.lit(0.0)).alias("var"), F.count(F.lit(1)).alias("n"))
     found = {r.y: r for r in shape.collect()}  # two rows
@@ -144,18 +156,14 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         var = max((zero.var * zero.n + one.var * one.n) / (zero.n + one.n), 1e-12)
         log_odds = (F.col("evidence") - (one.mean + zero.mean) / 2) * ((one.mean - zero.mean) / var)
     sites = site_posteriors(seen.select("host", "path", "y"))
-    keyed = [F.encode(F.to_json(F.struct("host", "path")), "utf-8").alias("site")]
-    sites = sites.select(*keyed, "prior", "host_rate", "path_rate", "labelled", "strength", F.col("rows").alias("n"))
-    seen = seen.withColumns({"site": keyed[0], "_salt": F.xxhash64("_id", "evidence")})
-    out = attach_groups(seen, scratch.table(sites, "sites"), ["site"], "_salt", seen.count())
-    weight = F.col("labelled") + F.col("strength")
-    alone = F.greatest((F.col("path_rate") * weight - F.coalesce("y", F.lit(0))) / F.greatest(weight - F.when(F.col("y").isNull(), 0).otherwise(1), F.lit(0.5)), F.lit(1e-6))
-    alone = F.least(alone, F.lit(1 - 1e-6))
-
-    def logit(p):
-        return F.log(p / (1 - p))
-
-    odds = F.least(F.greatest(log_odds, F.lit(-30.0)), F.lit(30.0)) + logit(alone)
+    keyed = F.encode(F.to_json(F.struct("host", "path")), "utf-8").alias("site")
+    sites = sites.select(keyed, "prior", "host_strength", "host_n", "host_good", "host_rate", "path_rate", "labelled", "good", "strength", F.col("rows").alias("n"))
+    out = attach_groups(seen.withColumn("site", keyed), scratch.table(sites, "sites"), ["site"], "_salt", total)
+    own, one = F.coalesce("y", F.lit(0)), F.when(F.col("y").isNull(), 0).otherwise(1)
+    host = (F.col("host_good") - own + F.col("host_strength") * F.col("prior")) / (F.col("host_n") - one + F.col("host_strength"))
+    path = (F.col("good") - own + F.col("strength") * host) / (F.col("labelled") - one + F.col("strength"))
+    path = F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = F.least(F.greatest(log_odds, F.lit(-30.0)), F.lit(30.0)) + F.log(path / (1 - path))
     score = 1 / (1 + F.exp(-odds))
     return out.select(F.col("_id").alias(id_col), "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("keep"))
 
