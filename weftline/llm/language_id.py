@@ -19,7 +19,7 @@ _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MOST_TRAINING_ROWS = 1_500
 LONGEST_GRAM = 5
 #: Tokens that are looked up at once, and tokens that are remembered.
-_CHUNK, _KEPT = 200_000, 300_000
+_CHUNK, _KEPT = 200_000, 200_000
 #: A text's evidence counts as that of at most so many words, so that the posterior isn't always 1.
 _EVIDENCE = 20
 
@@ -55,6 +55,10 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k != "_tokens"}
 
+    def forget(self) -> None:
+        """Drop the remembered tokens."""
+        vars(self).pop("_tokens", None)
+
     @classmethod
     def of(cls, counts: Iterable[tuple[int, str, str, int]]) -> Model:
         """From (size, gram, language, count)."""
@@ -224,6 +228,7 @@ def _predicted(df: DataFrame, text_col: str, model: Model) -> DataFrame:
             found = list(sent.value.predict(x.as_py() for x in b.column(b.schema.get_field_index(text_col))))
             answers = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *answers], names=[*b.schema.names, "lang_pred", "score"])
+        sent.value.forget()  # the worker lives on
 
     names = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(predict, f"{names}, lang_pred string, score double")
