@@ -94,13 +94,81 @@ def test_longest_word_only_without_hits(spark):
 
 
 def test_value_summaries(spark):
-    rows = [("a", "1", f"v{i}", f"Meaning {i}", str(9 - i)) for i in range(8)] + [("b", "1", "x", "Only", None), ("c", "1", "x", "One", None), ("c", "1", "y", "Two", None), ("d", "1", " ", None, None)]
+    rows = [("a", "1", f"v{i}", f"Meaning {i}", str(9 - i)) for i in range(8)]
+    rows += [("b", "1", "x", "Only", None), ("c", "1", "x", "One", None), ("c", "1", "y", "Two", None), ("d", "1", " ", None, None), ("e", "1", "1", "Yes", None), ("e", "1", "0", "No", None)]
     df = spark.createDataFrame(rows, "cde_publicid string, cde_version string, valid_value string, value_meaning string, meaning_concept_display_order string")
     got = {r.cde_publicid: r for r in value_summary.value_summaries(df).collect()}
-    assert {k: r.status for k, r in got.items()} == {"a": "drawn", "b": "single", "c": "small"}
-    assert got["b"].query_summary == "" and got["c"].query_summary == "PV_TYPE: ENUM(n=2); PV: One | Two"
+    assert {k: (r.rule, r.omitted) for k, r in got.items()} == {"a": (None, False), "b": ("n1", True), "c": ("n2_telling", True), "e": ("n2_generic", False)}
+    assert got["c"].query_summary == "" and got["c"].catalog_summary == "PV_TYPE: ENUM(n=2); PV: One | Two"
+    assert got["e"].kind == "BINARY" and got["e"].n_generic == 2 and got["e"].query_summary != got["e"].catalog_summary
     assert [tuple(r) for r in value_summary.value_summaries(df.repartition(5)).orderBy("cde_publicid").collect()] == [tuple(got[k]) for k in sorted(got)]
-    assert [value_summary.half_even(x) for x in (0.5, 1.5, 2.5)] == [0, 2, 2]
+    assert value_summary.summary_blocks(df).columns == ["cde_publicid", "cde_version", "PV_N", "PV_TYPE", "PV_BLOCK_CDE", "PV_BLOCK_SDE"]
+    assert value_summary.summary_report(value_summary.value_summaries(df)).first().omission_rate == 0.5
+
+
+def _pool(n, concepts=()):
+    return [value_summary.Value(f"v{i}", f"Label {i}" if i >= len(concepts) else concepts[i], concepts[i] if i < len(concepts) else None, float("inf"), i) for i in range(n)]
+
+
+def test_summary_sizes_and_strata():
+    policy = value_summary.Policy()
+    sizes = {n: {value_summary.side_size(n, 8, policy, f"s{i}") for i in range(50)} for n in (0, 1, 2, 3, 4, 5, 6, 40)}
+    assert sizes == {0: {0}, 1: {1}, 2: {2}, 3: {2}, 4: {2, 3}, 5: {2, 3}, 6: {2, 3, 4}, 40: {7, 8}}
+    assert value_summary.strata(4, 8, 0, 8, policy) == (0, 4)
+    assert value_summary.strata(4, 8, 2, 6, policy) == (1, 3)  # 4 * (0.25 + 0.1), rounded
+    assert value_summary.strata(4, 4, 4, 0, policy) == (4, 0)  # capped at 0.7, and others are lacking
+    assert value_summary.strata(3, 6, 1, 1, policy) == (1, 1)
+
+
+def test_small_rules():
+    rule = value_summary.small_rule
+    policy, strict = value_summary.Policy(), value_summary.Policy(strict=True)
+    assert rule(1, 1, 0, (1, 1), policy) == ("n1", True)
+    assert rule(2, 1, 1, (2, 2), policy) == ("n2_telling", True) and rule(2, 2, 0, (2, 2), policy) == ("n2_generic", False)
+    assert rule(3, 2, 1, (2, 2), policy) == ("n3_generic", False) and rule(3, 1, 2, (2, 2), policy) == ("n3_telling", False)
+    assert rule(3, 1, 2, (1, 2), policy) == ("n3_telling_too_few", True) and rule(4, 0, 4, (2, 2), policy) == (None, False)
+    assert rule(3, 2, 1, (2, 2), strict) == ("strict_small", True) and rule(2, 2, 0, (2, 2), strict) == ("n2_generic", False)
+
+
+def test_equal_sides_are_drawn_again_and_subsets_only_judged_where_small_or_strict():
+    same = [value_summary.Value(f"t{i}", f"t{i}", None, float("inf"), i) for i in range(4)]  # value and meaning are equal
+    fields = [f.split()[0] for f in value_summary.SCHEMA.split(", ")][2:]
+    seen = {"redrawn": 0, "within": 0}
+    for i in range(200):
+        row = dict(zip(fields, value_summary.summarise(same, "ENUM", f"id{i}::1", value_summary.Policy()), strict=True))
+        assert row["same_after"] == (row["same_before"] and row["n_query"] == 0) and row["omitted"] == (row["n_query"] == 0)
+        assert row["query_summary"] != row["catalog_summary"] and not row["within_catalog"]
+        seen["redrawn"] += row["redraws"] > 0 and not row["same_after"]
+        q, c = (set(row[x].partition("PV: ")[2].split(" | ")) for x in ("query_summary", "catalog_summary"))
+        seen["within"] += row["n_query"] > 0 and q < c  # kept, as there are more than three values
+        strict = dict(zip(fields, value_summary.summarise(same, "ENUM", f"id{i}::1", value_summary.Policy(strict=True)), strict=True))
+        assert strict["within_catalog"] == (row["n_query"] > 0 and q < c) and (not strict["within_catalog"] or strict["omitted"])
+    assert seen["redrawn"] > 0 and seen["within"] > 0
+    three = [value_summary.Value(x, x, None, float("inf"), i) for i, x in enumerate("abc")]
+    for i in range(40):
+        row = dict(zip(fields, value_summary.summarise(three, "ENUM", f"x{i}::1", value_summary.Policy(most_catalog=3, least=2)), strict=True))
+        assert row["rule"] == "n3_telling" and row["query_summary"] != row["catalog_summary"]
+    gone = value_summary.summarise(three, "ENUM", "x::1", value_summary.Policy(placeholder="<none>", strict=True))
+    assert gone[3] == "<none>"
+
+
+def test_generic_values_share_a_concept_and_may_be_shown_by_meaning():
+    pool = [value_summary.Value("U", "Unknown", "UNKNOWN", 2.0, 0), value_summary.Value("UNK", "Not known", "UNKNOWN", 1.0, 1), *_pool(6)[2:]]
+    chosen = value_summary.draw_side(pool, 5, value_summary.Policy(), "s")
+    assert [v.value for v in chosen if v.concept] == ["UNK"] and len(chosen) == 5  # the concept's first in display order
+    assert [v.value for v in value_summary.draw_side(pool, 6, value_summary.Policy(), "s")][:2] == ["UNK", "U"]  # filled up
+    assert value_summary.query_items(pool[:1], value_summary.Policy(label_share=1.0), "s") == ["Unknown"]
+    assert value_summary.query_items(pool[:1], value_summary.Policy(label_share=0.0), "s") == ["U"]
+    shown = [value_summary.query_items(pool[:1], value_summary.Policy(), f"s{i}") == ["Unknown"] for i in range(400)]
+    assert 0.2 < sum(shown) / 400 < 0.4
+
+
+def test_draws_agree(spark):
+    names = [f"n{i}" for i in range(30)]
+    df = spark.createDataFrame([("g", x) for x in names], "g string, name string")
+    rows = value_summary.draw_rows(df, ["g"], "name", 7, "k").collect()
+    assert sorted(r.name for r in rows) == value_summary.draw(names, 7, "k")
+    assert value_summary.draw(names, 0, "k") == [] and value_summary.draw(["b", "a"], 5, "k") == ["b", "a"]
 
 
 def test_batches_repeat_no_text(spark):
