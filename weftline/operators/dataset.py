@@ -171,3 +171,51 @@ def table_parity(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Seque
     one = both.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("unequal"), F.col(f"m_{c}").alias("max_diff")) for c in columns]))
     return one.select("only_a", "only_b", rows.alias("r")).select("only_a", "only_b", "r.*")
+
+
+#: Splits made from the main registry; their exact matches are withheld in part (fixed values).
+REGISTRY_SPLITS = (
+    "train", "train_noleak", "train_natural", "train_natural_noleak", "val_train", "val_dev", "test", "natural_internal_eval",
+    "external_holdout_org", "external_holdout_standard", "external_holdout_refslice", "cctg", "oid_alt", "cdash",
+)
+#: Splits whose catalog values may be filled in from the summary (fixed values).
+HYDRATED_SPLITS = ("external_holdout_gdc_altnames", "external_holdout_gdc_questiontext", "cimac_appendix_a_eval", "cimac_v2", "theradex6_test", "gdc_combined")
+#: The share of exact matches that registry splits and others may use (fixed values).
+REGISTRY_ALLOWANCE, OTHER_ALLOWANCE = 0.70, 1.0
+
+
+def route_splits(df: DataFrame, split: str) -> DataFrame:
+    """df with a split's allowance, the suffix of its candidate tables, and whether its catalog values are thinned or hydrated."""
+    own = F.col(split).isin(*REGISTRY_SPLITS)
+    return df.withColumns({"allowance": F.when(own, REGISTRY_ALLOWANCE).otherwise(OTHER_ALLOWANCE), "candidate_table": F.concat(F.col(split), F.when(own, "_a070").otherwise("_a10")), "hydration": F.when(F.col(split).isin(*HYDRATED_SPLITS), "hydrated").otherwise("thinned")})
+
+
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df itself; an error where rows share keys."""
+    if not duplicate_rows(df, keys).isEmpty():
+        raise ValueError(f"rows repeat {list(keys)}")
+    return df
+
+
+def indicator_join(df: DataFrame, other: DataFrame, keys: Sequence[str], found: str = "found", validate: bool = True) -> DataFrame:
+    """Each row of df with other's columns, null where there is none, and whether there is one; other must be unique by keys, so no row is added."""
+    other = require_unique(other, keys) if validate else other
+    return df.join(other.withColumn(found, F.lit(True)), list(keys), "left").withColumn(found, F.coalesce(found, F.lit(False)))
+
+
+def merge_scores(df: DataFrame, scores: DataFrame, keys: Sequence[str], score: str, injected: str | None = None) -> DataFrame:
+    """df with a score column; both sides must be unique by keys, and, where injected names a flag, just its rows must lack a score."""
+    require_unique(df, keys)
+    out = indicator_join(df, scores.select(*keys, score), keys, "_scored")
+    if injected and not out.filter(F.col("_scored") == F.col(injected)).isEmpty():
+        raise ValueError("rows without a score are not the injected ones")
+    return out.drop("_scored")
+
+
+def overlap_audit(df: DataFrame, train: DataFrame, text: str, train_text: str, samples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(one row: overlapping rows and distinct texts; the first samples of these texts): texts of df that train has in equal normal form. The limit is the feature: a report."""
+    from weftline.functions.text import exact_key
+
+    known = train.select(exact_key(F.col(train_text), nfkc=False).alias("_k")).distinct()
+    both = df.withColumn("_k", exact_key(F.col(text), nfkc=False)).join(known, "_k", "left_semi")
+    return both.agg(F.count(F.lit(1)).alias("overlapping"), F.countDistinct(text).alias("texts")), both.select(text).distinct().orderBy(text).limit(samples)

@@ -17,14 +17,17 @@ def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_index(docs: DataFrame, key: str, tokens: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(token, key, weight): idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)).
+def bm25_index(docs: DataFrame, key: str, tokens: Column, k1: float = 1.2, b: float = 0.75, asked: DataFrame | None = None) -> DataFrame:
+    """(token, key, weight): idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)); only of the tokens of asked (token), if given.
 
     idf = ln((N - df + 0.5) / (df + 0.5) + 1). N and the average count all documents, empty ones too.
     """
     sized = docs.select(key, tokens.alias("_t")).select(key, "_t", F.size("_t").alias("_len"))
     totals = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    tf = sized.select(key, "_len", F.explode("_t").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("_len").alias("_len"))
+    rows = sized.select(key, "_len", F.explode("_t").alias("token"))
+    if asked is not None:
+        rows = rows.join(asked.select("token").distinct(), "token", "left_semi")
+    tf = rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("_len").alias("_len"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     rows = tf.join(df, "token").crossJoin(F.broadcast(totals))  # one row
     idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
@@ -48,7 +51,38 @@ def bm25_search(docs: DataFrame, queries: DataFrame, key: str, query: str, doc_t
     """(query, key, score, rank) by BM25, each query token counted once."""
     tokens = T.TOKENIZERS[tokenizer]
     asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("token"))
-    return top_ranked(posting_scores(bm25_index(docs, key, tokens(F.col(doc_text)), k1, b), asked, query, key), query, key, k)
+    return top_ranked(posting_scores(bm25_index(docs, key, tokens(F.col(doc_text)), k1, b, asked), asked, query, key), query, key, k)
+
+
+def bm25_grid(docs: DataFrame, queries: DataFrame, gold: DataFrame, key: str, query: str, catalog_forms: dict[tuple[str, str], Column], query_forms: dict[str, Column], depth: int = 10, tokenizers: Sequence[str] = ("baseline",)) -> DataFrame:
+    """The metrics of every query form against every (catalog form, format) with every tokenizer, and their place: recall at 5, then mrr, recall at 1 and names.
+
+    All query forms are scored against a catalog form at once, so its index is made once a tokenizer.
+    """
+    from weftline.operators import metrics
+
+    asked = None
+    for name, text in query_forms.items():
+        part = queries.select(F.struct(F.lit(name).alias("form"), F.col(query).alias("id")).alias("_q"), text.alias("_text"))
+        asked = part if asked is None else asked.unionAll(part)
+    wanted = gold.select(query).distinct().select(F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(query).alias("id")) for n in query_forms])).alias("_q"))
+    answers = gold.select(F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(query).alias("id")) for n in query_forms])).alias("_q"), key)
+    out = None
+    for tokenizer in tokenizers:
+        for (form, kind), text in catalog_forms.items():
+            found = bm25_search(docs.select(key, text.alias("_doc")), asked, key, "_q", "_doc", "_text", depth, tokenizer)
+            hits = metrics.first_hits(found, answers, "_q", key).withColumn("query_form", F.col("_q.form"))
+            one = metrics.ranking_metrics(wanted.withColumn("query_form", F.col("_q.form")), hits.drop("query_form"), "_q", by=["query_form"]).withColumn("mrr_100", F.round("mrr_100", 9))
+            one = one.withColumns({"catalog_form": F.lit(form), "format": F.lit(kind), "tokenizer": F.lit(tokenizer)})
+            out = one if out is None else out.unionByName(one)
+    order = Window.orderBy(F.desc("recall_5"), F.desc("mrr_100"), F.desc("recall_1"), "query_form", "catalog_form", "format", "tokenizer")
+    return out.withColumn("place", F.row_number().over(order))  # a row a cell
+
+
+def exact_join(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, doc_text: str, nfkc: bool = True) -> DataFrame:
+    """(query, key) of equal normal forms; empty ones equal nothing."""
+    asked = queries.select(query, T.exact_key(F.col(query_text), nfkc).alias("_key")).filter("_key <> ''")
+    return asked.join(docs.select(key, T.exact_key(F.col(doc_text), nfkc).alias("_key")), "_key").select(query, key)
 
 
 def score_margins(ranked: DataFrame, query: str) -> DataFrame:

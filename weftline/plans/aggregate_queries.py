@@ -88,6 +88,13 @@ def pool_grid(t: Tables) -> DataFrame:
     return _grid(t)
 
 
+@query("a15_pool_sizes", f"WITH {_RUN}, g AS (SELECT DISTINCT q, c FROM ranked WHERE gold), p AS (SELECT q, count(*) AS n, bool_or((q, c) IN (SELECT (q, c) FROM g)) AS hit FROM ranked WHERE rank <= 12 AND q % 7 <> 0 GROUP BY q) SELECT count(*) AS queries, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS ceiling, count(*) FILTER (n IS NULL) AS absent, avg(coalesce(n, 0)) AS mean_size, median(coalesce(n, 0)) AS median_size, min(coalesce(n, 0)) AS smallest, max(coalesce(n, 0)) AS largest, avg(CASE WHEN coalesce(n, 0) < 11 THEN 1.0 ELSE 0.0 END) AS share_small FROM (SELECT DISTINCT q FROM g) LEFT JOIN p USING (q)")
+def pool_sizes(t: Tables) -> DataFrame:
+    """A seventh of the queries lack a pool."""
+    ranked = _ranked(t)
+    return metrics.pool_sizes(ranked.filter("rank <= 12 AND q % 7 <> 0"), ranked.filter("gold"), "q", "c", least=11)
+
+
 @query("a14_smallest_depth", f"WITH {_GRID} SELECT * FROM r WHERE recall >= (SELECT max(recall) FROM r) - 0.05 ORDER BY mean_size, depth_a, depth_b LIMIT 1")
 def smallest_depth(t: Tables) -> DataFrame:
     """The limit is the feature: one depth is chosen."""

@@ -155,7 +155,7 @@ def reachable(t: Tables) -> DataFrame:
     "j8_leakage",
     """
 WITH e AS (SELECT o_orderkey AS q, o_orderpriority AS x, o_custkey AS g FROM orders WHERE o_orderkey % 3 = 0),
-r AS (SELECT o_orderkey + o_orderkey % 2 * 3 AS q, upper(o_orderpriority) || '!' AS x, o_custkey AS g FROM orders WHERE o_orderkey % 3 = 1)
+r AS (SELECT o_orderkey + o_orderkey % 2 * 3 AS q, upper(o_orderpriority) || '!' AS x, o_custkey AS g FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT q, list_sort(list_distinct(list(reason))) AS reasons FROM (
   SELECT q, 'text_and_gold' AS reason FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.g = e.g AND trim(regexp_replace(lower(r.x), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(e.x), '[^a-z0-9]+', ' ', 'g')))
   UNION ALL SELECT q, 'query_id' FROM e WHERE q IN (SELECT q FROM r)) GROUP BY q
@@ -165,7 +165,7 @@ def leakage(t: Tables) -> DataFrame:
     o, key = t.orders, F.col("o_orderkey")
     gold = F.concat("o_custkey", F.lit("::"), F.col("o_orderkey"))
     evaluation = o.filter(key % 3 == 0).select(key.alias("q"), F.col("o_orderpriority").alias("x"), gold.alias("g"))
-    train = o.filter(key % 3 == 1).select((key + key % 2 * 3).alias("q"), F.concat(F.upper("o_orderpriority"), F.lit("!")).alias("x"), gold.alias("g"))
+    train = o.filter(key % 3 != 0).select((key + key % 2 * 3).alias("q"), F.concat(F.upper("o_orderpriority"), F.lit("!")).alias("x"), gold.alias("g"))
     return dataset.leakage_reasons(evaluation, train, "q", "x", "g")
 
 
@@ -178,7 +178,14 @@ def overlap_audit(t: Tables) -> DataFrame:
 @query("j10_j11_indicator_join", "SELECT l_orderkey, l_linenumber, l_extendedprice, p_retailprice AS score, p_partkey IS NOT NULL AS found FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10")
 def indicator_join(t: Tables) -> DataFrame:
     scores = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("score"), F.lit(True).alias("found"))
-    return t.lineitem.join(scores, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_extendedprice", "score", F.coalesce("found", F.lit(False)).alias("found"))
+    return dataset.indicator_join(t.lineitem, scores.drop("found"), ["l_partkey"]).select("l_orderkey", "l_linenumber", "l_extendedprice", "score", "found")
+
+
+@query("f21_split_routing", "SELECT o_orderkey, CASE WHEN s IN ('train', 'test', 'cctg') THEN 0.7 ELSE 1.0 END AS allowance, s || CASE WHEN s IN ('train', 'test', 'cctg') THEN '_a070' ELSE '_a10' END AS candidate_table, CASE WHEN s IN ('cimac_v2', 'gdc_combined') THEN 'hydrated' ELSE 'thinned' END AS hydration FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'cctg' WHEN 3 THEN 'cimac_v2' WHEN 4 THEN 'gdc_combined' ELSE 'new' END AS s FROM orders)")
+def split_routing(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    name = F.when(k == 0, "train").when(k == 1, "test").when(k == 2, "cctg").when(k == 3, "cimac_v2").when(k == 4, "gdc_combined").otherwise("new")
+    return dataset.route_splits(t.orders.select("o_orderkey", name.alias("s")), "s").drop("s")
 
 
 @query(

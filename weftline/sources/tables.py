@@ -18,16 +18,19 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def merge_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Many files under the first one's schema: its columns in its types, missing ones null."""
-    first = spark.read.parquet(paths[0])
-    out = first
-    for p in paths[1:]:
-        more = spark.read.parquet(p)
-        out = out.unionByName(more.select(*[(F.col(c) if c in more.columns else F.lit(None)).cast(t).alias(c) for c, t in first.dtypes]))
+def merge_tables(tables: Sequence[DataFrame]) -> DataFrame:
+    """Many tables under the first one's schema: its columns in its types, missing ones null."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more.select(*[(F.col(c) if c in more.columns else F.lit(None)).cast(t).alias(c) for c, t in tables[0].dtypes]))
     return out
 
 
+def merge_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Many files under the first one's schema."""
+    return merge_tables([spark.read.parquet(p) for p in paths])
+
+
 def write_rankings(df: DataFrame, path: str) -> None:
     df.write.option("compression", "zstd").parquet(path)
 
