@@ -100,7 +100,9 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself: df's rows as often as they are taken, the last time perhaps with only the text's first words.
 
     Rows without words are in no block and leave. Equal ids must have equal texts sizes to be told apart; rows that
-    repeat an id each get what the mix gives that id and size.
+    repeat an id each get what the mix gives that id and size. Null and empty texts have no words; null sources and ids
+    are taken as mix_sources does. A very long text is taken whole or its leading words. An empty table gives an empty
+    result. Columns may have any names.
     """
     plan = mix_sources(df, id_col, text_col, source_col, most=most, **options)
     plan = plan.filter("taken > 0").groupBy(F.col(id_col).alias("_doc"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_same"))

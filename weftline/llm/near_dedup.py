@@ -359,7 +359,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows that near_duplicates doesn't keep, all columns."""
+    """df without the rows that near_duplicates doesn't keep, all columns.
+
+    Null, empty and wordless texts and rows with a null id stay. Ties are no matter, as ids decide; rows that repeat an id
+    stay or go together, so equal rows of the smallest id of a group all stay. Whole texts count. An empty table stays
+    empty. Columns may have any names.
+    """
     out = near_duplicates(df, id_col, text_col, shingle, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     docs = df.toDF(*names.values())
