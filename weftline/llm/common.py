@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,10 +52,27 @@ class Scratch:
             path = self._path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Have the driver's JVM drop plans that nothing refers to any more, whereupon Spark deletes their shuffle files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
 
+def give_back() -> None:
+    """Return what was freed to the system: Python workers outlive their tasks, and C's allocator keeps it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def open_shared(path: str):
     """(filesystem, path within it) of a shared path, for use in Python workers."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod
+from weftline.llm.common import crc_mod, give_back
 
 #: A word: a letter, and the letters and marks that follow.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -19,7 +19,7 @@ _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MOST_TRAINING_ROWS = 1_500
 LONGEST_GRAM = 5
 #: Tokens that are looked up at once, and tokens that are remembered.
-_CHUNK, _KEPT = 200_000, 200_000
+_CHUNK, _KEPT = 100_000, 150_000
 #: A text's evidence counts as that of at most so many words, so that the posterior isn't always 1.
 _EVIDENCE = 20
 
@@ -200,6 +200,7 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col:
             if sum(map(len, words.values())) > _KEPT:
                 yield from counted()
         yield from counted()
+        give_back()
 
     counts = df.select("_text", "_label").mapInArrow(count, "size int, key long, language int, n long").groupBy("size", "key", "language").agg(F.sum("n").alias("n")).toArrow()
     size, key, language, n = (np.asarray(counts.column(c)) for c in ("size", "key", "language", "n"))
@@ -228,7 +229,8 @@ def _predicted(df: DataFrame, text_col: str, model: Model) -> DataFrame:
             found = list(sent.value.predict(x.as_py() for x in b.column(b.schema.get_field_index(text_col))))
             answers = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *answers], names=[*b.schema.names, "lang_pred", "score"])
-        sent.value.forget()  # the worker lives on
+        sent.value.forget()
+        give_back()
 
     names = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(predict, f"{names}, lang_pred string, score double")

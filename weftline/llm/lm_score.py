@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, crc_mod, open_shared, write_shared
+from weftline.llm.common import Scratch, crc_mod, give_back, open_shared, write_shared
 from weftline.llm.word_hashes import WordHashes, combine
 
 #: A word has no blank, so these are no word's hashes.
@@ -17,7 +17,7 @@ START, END = (np.uint64(int.from_bytes(x, "big")) for x in (b"\x01 start\x01", b
 #: Words in a gram, and how many occurrences the next shorter context counts as.
 ORDER, STRENGTH = 3, 64.0
 #: Tokens of a block of texts; grams of a shard of the model; tokens that one lane of a traversal takes.
-_BLOCK, _SHARD, _LANE = 3 << 19, 1 << 22, 1 << 10
+_BLOCK, _SHARD, _LANE = 3 << 19, 1 << 23, 1 << 10
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -86,10 +86,12 @@ def write_blocks(rows: DataFrame, folder: str, block: int) -> DataFrame:
                     parts.append(narrow.slice(begin, i + 1 - begin))
                     yield close()
                     held, size, parts, begin = [], 0, [], i + 1
+                    give_back()
             if begin < b.num_rows:
                 parts.append(narrow.slice(begin))
         if held:
             yield close()
+        give_back()
 
     names = ["block", "file", "ids", "sizes", "learn", "scored", "tokens"]
     return rows.mapInArrow(work, f"block string, file string, ids array<{kind}>, sizes array<bigint>, learn array<boolean>, scored array<boolean>, tokens long")
@@ -237,7 +239,10 @@ def _ask(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                 for shard, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if a < z:
                         out.append((shard, r["block"], ask, _pack_sorted(keys[a:z]), _pack_counts(counts[a:z])))
+                del block, keys, counts, by_key
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["shard", "block", "ask", "keys", "counts"])
+                del out
+                give_back()
 
     return blocks.select("block", "file", "sizes", "learn", "scored").mapInArrow(work, "shard long, block string, ask boolean, keys binary, counts binary")
 
@@ -268,9 +273,11 @@ def _answer(asked: DataFrame) -> DataFrame:
                 if held and held[0]["shard"] != r["shard"]:
                     yield answers(held)
                     held = []
+                    give_back()
                 held.append(r)
         if held:
             yield answers(held)
+        give_back()
 
     return asked.mapInArrow(work, "block string, shard long, n binary, types long")
 
@@ -308,6 +315,8 @@ def score_texts(df: DataFrame, train: DataFrame | Column, id_col: str = "doc_id"
     bits = max(0, (order * held // shard).bit_length())
     asked = _ask(blocks.repartition(max(total, 1)), order, bits).repartition(1 << bits, "shard").sortWithinPartitions("shard", "block")
     answers = scratch.table(_answer(asked), "answers")
+    del asked
+    scratch.release()
     types = answers.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
 
     def score(batches):
@@ -315,10 +324,12 @@ def score_texts(df: DataFrame, train: DataFrame | Column, id_col: str = "doc_id"
 
         def scored(row: dict, parts: list[bytes]):
             own = Block(row["file"], np.array(row["sizes"]), order)
-            _, by_key = own.keys()
+            by_key = own.keys()[1]
             n = np.empty(len(by_key), np.int64)
             n[by_key] = np.concatenate([_unpack_counts(x) for x in parts])
+            del by_key
             model = Automaton(own, n, tokens, types, strength)
+            del n, own.grams, own.ends, own.place
             texts = np.flatnonzero(np.array(row["scored"], bool))
             real = np.ones(len(own.at), bool)
             real[own.begins] = False
@@ -334,11 +345,13 @@ def score_texts(df: DataFrame, train: DataFrame | Column, id_col: str = "doc_id"
                 if r["shard"] == -1:
                     if head is not None:
                         yield scored(head, parts)
+                        give_back()
                     head, parts = r, []
                 else:
                     parts.append(r["n"])
         if head is not None:
             yield scored(head, parts)
+        give_back()
 
     heads = blocks.filter(F.exists("scored", lambda x: x)).select("block", F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("n"), "file", "ids", "sizes", "scored")
     empty = {c: F.lit(None).cast(t) for c, t in heads.dtypes if c not in answers.columns}

@@ -9,13 +9,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, attach_groups, open_shared
+from weftline.llm.common import Scratch, attach_groups, give_back, open_shared
 from weftline.llm.components import components
 from weftline.llm.word_hashes import WordHashes, combine, scramble
 
 COORDINATES, BAND = 128, 4
 #: Of a pair at the threshold 0.8, 102 of 128 coordinates agree on average; fewer than this with a chance below 1 in 50,000.
 LEAST_AGREEING = 79
+#: Bytes of ids to drop that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 #: Members of a block; larger buckets are compared a pair of blocks at a time.
 BLOCK = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -89,6 +91,8 @@ def sketch_documents(df: DataFrame, folder: str, size: int) -> DataFrame:
                     if rows:
                         types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["id", "n", "digest", "bands", "marks", "file", "at"])
+        hashes.clear()
+        give_back()
 
     return df.mapInArrow(work, f"id {kind}, n long, digest binary, bands array<bigint>, marks binary, file string, at long")
 
@@ -96,7 +100,7 @@ def sketch_documents(df: DataFrame, folder: str, size: int) -> DataFrame:
 class _Sets:
     """Sets read from their files, kept while they take less than most bytes."""
 
-    def __init__(self, most: int = 64 << 20):
+    def __init__(self, most: int = 32 << 20):
         self._files, self._kept, self._held, self._most = {}, {}, 0, most
 
     def load(self, path: str, at: int, n: int) -> np.ndarray:
@@ -366,6 +370,9 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     empty. Columns may have any names.
     """
     out = near_duplicates(df, id_col, text_col, shingle, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    out = Scratch(df.sparkSession, "near").table(out, "gone")
+    size = out.agg(F.coalesce(F.sum(F.octet_length(F.col("_gone").cast("string")) + 16), F.lit(0))).first()[0]
+    out = F.broadcast(out) if size <= MOST_BROADCAST else out  # the texts needn't move then
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     docs = df.toDF(*names.values())
     docs = docs.join(out, F.col(names[id_col]) == F.col("_gone"), "left_anti")

@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.common import give_back
 from weftline.llm.token_ids import default_tokenizer, encoder
 
 #: A group of documents that are packed together ends at this many documents or ids, whichever comes first.
@@ -134,8 +135,10 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if len(docs) >= GROUP_DOCS or held >= GROUP_IDS:
                         yield group(docs, ids)
                         docs, ids, held = [], [], 0
+                give_back()
         if docs:
             yield group(docs, ids)
+        give_back()
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.withColumn("_deal", F.xxhash64(F.lit(seed), "_id", F.xxhash64("_text")))

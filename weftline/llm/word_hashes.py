@@ -11,7 +11,7 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 class WordHashes(dict):
     """Lower-cased word -> hash, emptied past most words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self._most = most
 
