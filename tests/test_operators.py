@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import ids, text
-from weftline.operators import dataset, learn, matching, ranking, retrieval, value_summary
+from weftline.operators import dataset, features, learn, matching, ranking, retrieval, value_summary
 from weftline.plans import QUERIES
 from weftline.sources import catalog_xml, tables
 from weftline.streaming.match_stream import match_stream
@@ -269,3 +269,52 @@ def test_containments_of_any_ids(spark, tmp_path):
     spark.createDataFrame([(0, "red bolt", "Brand#1"), (1, "red bolt", "Brand#2")], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(0,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {r.p_partkey for r in QUERIES["m8_whole_containment"](spark, str(tmp_path)).collect()} == {0, 1}
+
+
+def test_split_routing_and_join_guards(spark):
+    rows = spark.createDataFrame([("test",), ("cctg",), ("gdc_combined",), ("new",)], "split string")
+    got = {r.split: (r.allowance, r.candidate_table, r.hydration) for r in dataset.route_splits(rows, "split").collect()}
+    assert got == {"test": (0.7, "test_a070", "thinned"), "cctg": (0.7, "cctg_a070", "thinned"), "gdc_combined": (1.0, "gdc_combined_a10", "hydrated"), "new": (1.0, "new_a10", "thinned")}
+    left = spark.createDataFrame([(1, False), (2, True)], "k int, injected boolean")
+    scores = spark.createDataFrame([(1, 0.5)], "k int, score double")
+    assert {r.k: r.score for r in dataset.merge_scores(left, scores, ["k"], "score", "injected").collect()} == {1: 0.5, 2: None}
+    with pytest.raises(ValueError, match="repeat"):
+        dataset.indicator_join(left, scores.unionAll(scores), ["k"])
+    with pytest.raises(ValueError, match="injected"):
+        dataset.merge_scores(left, scores.limit(0), ["k"], "score", "injected")
+    counts, sample = dataset.overlap_audit(spark.createDataFrame([("A b",), ("a  B",), ("c",)], "t string"), spark.createDataFrame([("a b",)], "u string"), "t", "u")
+    assert tuple(counts.first()) == (2, 2) and [r.t for r in sample.collect()] == ["A b", "a  B"]
+
+
+def test_lists_in_text_and_recipes(spark):
+    cases = {"['a', \"b c\", 'it\\'s']": ["a", "b c", "it's"], '["x", "y"]': ["x", "y"], "a | b": ["a", "b"], "[]": [], None: [], "[1, 2]": ["1", "2"], "['a, b', 'c']": ["a, b", "c"]}
+    for value, want in cases.items():
+        assert one(spark, text.listed_items(F.lit(value))) == want
+    assert sorted(["v1_v7", "v1_v2", "v2", "v7"], key=text.recipe_complexity) == ["v2", "v7", "v1_v2", "v1_v7"]
+
+
+def test_batch_matching_strips_blocks_and_withholds_exact_evidence(spark):
+    catalog = spark.createDataFrame([("c1", "Tumor Size", "Size of the tumor", "TS", 1), ("c2", "Tumor Size Unit", "Unit", "TSU", 1)], "id string, long string, question string, alt string, status int")
+    fields = {"P": F.col("long"), "Q": F.col("question"), "A": F.col("alt")}
+    terms, joined = (matching.field_terms(catalog, "id", fields, F.lit(False), F.col("status"), [F.array(F.lit("x")), F.array(F.lit("x"), F.lit("y"))], joined=j) for j in (False, True))
+    assert terms.count() == 6 and terms.first().cand_values == ["x", "y"]
+    asked = spark.createDataFrame([("q", "Tumor size | PV_TYPE: ENUM; PV: a | b", "PV_TYPE: ENUM; PV: a | b"), ("q", "Tumor size | PV_TYPE: ENUM; PV: a | b", None)], "qid string, t string, b string")
+    ready = matching.prepare_queries(asked, "qid", "t", "b").collect()
+    assert [(r.query_id, r.source, r.words) for r in ready] == [("q", "TUMOR SIZE", "TUMOR SIZE")]
+    gold = spark.createDataFrame([("q", "c1")], "query_id string, cand_id string")
+    full = matching.match_batch(asked, terms, joined, "qid", "t", gold=gold, rate=1.0).collect()
+    held = matching.match_batch(asked, terms, joined, "qid", "t", gold=gold, rate=0.0).collect()
+    assert [(r.cand_id, r.rule) for r in full][0] == ("c1", 1)
+    assert all(not (r.cand_id == "c1" and r.rule <= 3) for r in held) and {r.cand_id for r in held} >= {"c2"}
+
+
+def test_value_blocks_are_filled_only_where_asked(spark):
+    pairs = spark.createDataFrame([("k", "PV_TYPE: E; PV: a | b")], "cde_id string, PV_BLOCK_SDE string")
+    catalog = spark.createDataFrame([("k", "", "PV_TYPE: E; PV: A | c")], "cde_id string, PV_BLOCK_CDE string, PV_SUMMARY string")
+    thin, full = (features.add_value_overlap(pairs, catalog, hydrate=h).first() for h in (False, True))
+    assert (thin.pv_n_cde, thin.pv_exact_overlap_frac_cde, thin.pv_exact_overlap_jaccard) == (0, None, 0.0)
+    assert (full.pv_n_cde, full.pv_exact_overlap_count, full.pv_type_match) == (2, 1, True)
+    both = spark.createDataFrame([("PV_TYPE: E; PV: a", "PV_TYPE: E; PV: b"), ("PV_TYPE: E; PV: a", "a | a"), (None, "b | c")], "PV_BLOCK_CDE string, PV_SUMMARY string")
+    assert tuple(features.block_disagreement(both).first()) == (2, 1)
+    with pytest.raises(ValueError, match="already"):
+        features.add_text_features(pairs.withColumn("text_family", F.lit("")).withColumn("query_text_q3", F.lit("")))

@@ -216,6 +216,27 @@ def vector_search(corpus: DataFrame, queries: DataFrame, key: str, query: str, v
     return top_ranked(found.select(F.col("q").alias(query), F.col("k").alias(key), "score"), query, key, k)
 
 
+def vector_margins(found: DataFrame, corpus: DataFrame, queries: DataFrame, gold: DataFrame, key: str, query: str, vector: str) -> DataFrame:
+    """(query, gold_rank, true_score, best_other, margin) of each query with a gold: the rank of its first gold in found (null beyond), its best gold's score, computed whether found or not, and the lead over the best other candidate."""
+    pairs = gold.select(query, key).distinct()
+    a, b = queries.select(query, F.col(vector).alias("_a")), corpus.select(key, F.col(vector).alias("_b"))
+    true = pairs.join(a, query).join(b, key).groupBy(query).agg(F.round(F.max(dot(F.col("_a"), F.col("_b"))), 9).alias("true_score"))
+    marked = found.join(pairs.withColumn("_gold", F.lit(True)), [query, key], "left")
+    seen = marked.groupBy(query).agg(F.min(F.when(F.col("_gold"), F.col("rank"))).alias("gold_rank"), F.max(F.when(F.col("_gold").isNull(), F.col("score"))).alias("best_other"))
+    out = true.join(seen, query, "left")
+    return out.select(query, "gold_rank", "true_score", "best_other", F.round(F.col("true_score") - F.col("best_other"), 9).alias("margin"))
+
+
+def mined_lists(found: DataFrame, queries: DataFrame, gold: DataFrame, key: str, query: str, text: str, nfkc: bool = True) -> DataFrame:
+    """A row a distinct normalised query text: its golds, sorted, and its candidates by score (the best of its queries), golds left out, with their scores."""
+    texts = queries.select(query, T.exact_key(F.col(text), nfkc).alias("query_key"))
+    golds = texts.join(gold, query).groupBy("query_key").agg(F.array_sort(F.collect_set(key)).alias("golds"))
+    best = found.join(texts, query).groupBy("query_key", key).agg(F.max("score").alias("score"))
+    others = best.join(texts.join(gold, query).select("query_key", key).distinct(), ["query_key", key], "left_anti")
+    lists = others.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("_l"))
+    return golds.join(lists, "query_key", "left").select("query_key", "golds", F.transform("_l", lambda x: x["k"]).alias("candidates"), F.transform("_l", lambda x: -x["s"]).alias("scores"))
+
+
 def hybrid_rerank(ranked: DataFrame, lexical: DataFrame, query: str, key: str, alpha: float) -> DataFrame:
     """alpha * (cosine + 1) / 2 + (1 - alpha) * lexical score over its maximum in the query's candidates."""
     rows = ranked.join(lexical.select(query, key, F.col("score").alias("_l")), [query, key], "left")

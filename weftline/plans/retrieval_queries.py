@@ -168,6 +168,17 @@ def vector_search(t: Tables) -> DataFrame:
     return found.select("q", F.col("vec_id").alias("k"), F.round("score", 6).alias("score"))
 
 
+@query("m19_vector_margins", f"WITH {_VECTORS}, g AS (SELECT vec_id AS q, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS k FROM embeddings WHERE vec_id % 100 = 0), t AS (SELECT q, score AS s, g.k IS NOT NULL AS gold, rank FROM vr LEFT JOIN g USING (q, k)) SELECT q, CAST(min(rank) FILTER (gold AND rank <= 20) AS INTEGER) AS gold_rank, round(max(s) FILTER (gold), 6) AS true_score, round(max(s) FILTER (NOT gold AND rank <= 20), 6) AS best_other, round(max(s) FILTER (gold) - max(s) FILTER (NOT gold AND rank <= 20), 6) AS margin FROM t GROUP BY q")
+def margins_of_vectors(t: Tables) -> DataFrame:
+    """The next id is taken as gold; queries as in the search."""
+    n = t.embeddings.count()
+    asked = t.embeddings.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "q")
+    found = retrieval.vector_search(t.embeddings, asked, "vec_id", "q", "embedding", 20)
+    gold = asked.select("q", ((F.col("q") + 1) % n).alias("vec_id"))
+    out = retrieval.vector_margins(found, t.embeddings, asked, gold, "vec_id", "q", "embedding")
+    return out.select("q", "gold_rank", *[F.round(c, 6).alias(c) for c in ("true_score", "best_other", "margin")])
+
+
 @query("m9_rrf", "WITH a AS (SELECT l_suppkey AS q, l_partkey AS c, l_returnflag AS s, min(row) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS row FROM lineitem) GROUP BY ALL) SELECT q, c, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, row_number() OVER (PARTITION BY q ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, c) AS rrf_rank FROM a GROUP BY q, c")
 def rrf(t: Tables) -> DataFrame:
     w = Window.partitionBy("l_suppkey", "l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
@@ -304,3 +315,9 @@ def value_features(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("a"), F.array_union(F.collect_set("l_linestatus"), F.array(F.lit("A"))).alias("b"))
     features = pool.value_features(F.col("a"), F.col("b"))
     return rows.select("l_orderkey", *[features[n].alias(n) for n in ("both_present", "shared", "value_jaccard", "a_covered", "b_covered", "same_set", "size_ratio", "generic_a")])
+
+
+@query("m20_m40_mined_lists", f"WITH {_ARMS}, k AS (SELECT s_suppkey AS q, 'group ' || s_nationkey AS x FROM supplier), gl AS (SELECT x, list_sort(list_distinct(list(c))) AS golds FROM g JOIN k USING (q) GROUP BY x), bs AS (SELECT x, c, max(score) AS score FROM a JOIN k USING (q) GROUP BY x, c), o AS (SELECT x, list(c ORDER BY score DESC, c) AS candidates FROM bs WHERE (x, c) NOT IN (SELECT (x, c) FROM g JOIN k USING (q)) GROUP BY x) SELECT x AS query_key, golds, candidates FROM gl LEFT JOIN o USING (x)")
+def mined(t: Tables) -> DataFrame:
+    asked = t.supplier.select(F.col("s_suppkey").alias("q"), F.concat(F.lit(" GROUP  "), "s_nationkey").alias("x"))
+    return retrieval.mined_lists(_arms(t)[0], asked, _gold(t), "c", "q", "x", nfkc=False).drop("scores")
