@@ -81,7 +81,13 @@ class Encoder:
 
         self.vocabulary = tokenizer.get_vocab_size()
         self._most, self._whole, self._text = most_pieces, whole, parts
-        self._parts, self._inner = _Pieces(part), _Pieces(lambda piece: parts(" " + piece))
+        def inner(piece: str) -> bytes:
+            """The ids of a blank and a piece; one of Latin letters or ASCII digits only is a part of its own."""
+            if piece.isalpha() and (piece.isascii() or max(piece) < "\u0250") or piece.isascii() and piece.isdigit():
+                return self._parts[" " + piece]
+            return parts(" " + piece)
+
+        self._parts, self._inner = _Pieces(part), _Pieces(inner)
 
     def encode(self, text: str) -> bytes:
         """The ids of one text."""
