@@ -36,6 +36,20 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def all(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of pieces; as [self[p] for p in pieces], but with fewer calls."""
+        encode, older, out = self._encode, self.older.get, list(map(self.get, pieces))
+        for i, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[i]
+                ids = older(piece)
+                if ids is None:
+                    ids = encode(piece)
+                out[i] = ids
+                if len(piece) <= 64:
+                    self[piece] = ids
+        return out
+
     def renewed(self, most: int) -> _Pieces:
         """This table, or past most pieces an empty one that still looks into this one."""
         if len(self) <= most:
@@ -52,7 +66,7 @@ class Encoder:
     as many, of pieces and of their parts. A tokenizer of another kind encodes each text in one go.
     """
 
-    def __init__(self, path: str, most_pieces: int = 250_000):
+    def __init__(self, path: str, most_pieces: int = 350_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -79,15 +93,20 @@ class Encoder:
         def parts(text: str) -> bytes:
             return b"".join(map(self._parts.__getitem__, find(text)))
 
+        def piece(text: str) -> bytes:
+            """The ids of a piece; one of Latin letters or ASCII digits only, after a blank or not, is a part of its own."""
+            bare = text[1:] if text[:1] == " " else text
+            if bare.isascii():
+                if bare.isalpha() or bare.isdigit():
+                    return array("I", [t.id for t in tokenize(text.replace(" ", blank))]).tobytes()
+            elif bare.isalpha() and max(bare) < "\u0250":
+                return part(text)
+            found = find(text)
+            return part(text) if len(found) == 1 else b"".join(map(self._parts.__getitem__, found))
+
         self.vocabulary = tokenizer.get_vocab_size()
         self._most, self._whole, self._text = most_pieces, whole, parts
-        def inner(piece: str) -> bytes:
-            """The ids of a blank and a piece; one of Latin letters or ASCII digits only is a part of its own."""
-            if piece.isalpha() and (piece.isascii() or max(piece) < "\u0250") or piece.isascii() and piece.isdigit():
-                return self._parts[" " + piece]
-            return parts(" " + piece)
-
-        self._parts, self._inner = _Pieces(part), _Pieces(inner)
+        self._parts = _Pieces(piece)
 
     def encode(self, text: str) -> bytes:
         """The ids of one text."""
@@ -105,7 +124,7 @@ class Encoder:
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
                 yield self._encode_run(texts[a:b], end_id)
-                self._inner, self._parts = self._inner.renewed(self._most), self._parts.renewed(self._most)
+                self._parts = self._parts.renewed(self._most)
 
     def _encode_run(self, texts, end_id: int):
         import numpy as np
@@ -116,12 +135,12 @@ class Encoder:
         pieces = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         begins = np.asarray(pieces.offsets)
         coded = pieces.values.dictionary_encode()
-        which, known = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        which, known = np.asarray(coded.indices).astype(np.int64), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_pylist()
         heads = begins[:-1] - begins[0]
-        first, odd = [known[i] for i in which[heads]], odd.to_pylist()
+        first, odd = coded.dictionary.take(pa.array(which[heads])).to_pylist(), odd.to_pylist()
         used = np.bincount(which, minlength=len(known))
         np.subtract.at(used, which[heads], 1)  # a first piece has no blank before it
-        ids = [self._inner[p] if n else b"" for p, n in zip(known, used.tolist(), strict=True)]
+        ids = self._parts.all([p if n else "" for p, n in zip(known, used.tolist(), strict=True)])
         ids += [self.encode(texts[i].as_py()) if o else self._parts_of(f) for i, (o, f) in enumerate(zip(odd, first, strict=True))]
         which[heads] = np.arange(len(heads)) + len(known)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
