@@ -135,12 +135,14 @@ class Encoder:
         pieces = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         begins = np.asarray(pieces.offsets)
         coded = pieces.values.dictionary_encode()
-        which, known = np.asarray(coded.indices).astype(np.int64), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_pylist()
+        which, known = np.asarray(coded.indices).astype(np.int64), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
         heads = begins[:-1] - begins[0]
         first, odd = coded.dictionary.take(pa.array(which[heads])).to_pylist(), odd.to_pylist()
         used = np.bincount(which, minlength=len(known))
         np.subtract.at(used, which[heads], 1)  # a first piece has no blank before it
-        ids = self._parts.all([p if n else "" for p, n in zip(known, used.tolist(), strict=True)])
+        for i in np.flatnonzero(used == 0).tolist():
+            known[i] = ""
+        ids = self._parts.all(known)
         ids += [self.encode(texts[i].as_py()) if o else self._parts_of(f) for i, (o, f) in enumerate(zip(odd, first, strict=True))]
         which[heads] = np.arange(len(heads)) + len(known)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
