@@ -2,12 +2,13 @@
 
 import hashlib
 import itertools
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import ids, text
-from weftline.operators import dataset, features, learn, matching, ranking, retrieval, value_summary
+from weftline.operators import dataset, features, learn, matching, negatives, pool, profile, ranking, retrieval, value_summary
 from weftline.plans import QUERIES
 from weftline.sources import catalog_xml, tables
 from weftline.streaming.match_stream import match_stream
@@ -318,3 +319,104 @@ def test_value_blocks_are_filled_only_where_asked(spark):
     assert tuple(features.block_disagreement(both).first()) == (2, 1)
     with pytest.raises(ValueError, match="already"):
         features.add_text_features(pairs.withColumn("text_family", F.lit("")).withColumn("query_text_q3", F.lit("")))
+
+
+def test_short_texts_are_joined_without_a_nested_loop(spark):
+    long = ["the quick brown fox", "ab", "a", "", None, "xyz zy", "b a", "élan vital"]
+    short = ["a", "ab", "zy", "fox", "", None, "quick brown", "él", "q b", "the quick brown fox"]
+    a, b = spark.createDataFrame(list(enumerate(short)), "i long, s string"), spark.createDataFrame(list(enumerate(long)), "j long, l string")
+    want = {(i, j) for (i, s), (j, x) in itertools.product(enumerate(short), enumerate(long)) if s and x and s in x}
+    got = matching.contained_in(a, b, "i", "s", "j", "l")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    terms = b.select(F.col("j").alias("cand_id"), F.lit("P").alias("field"), F.col("l").alias("term"))
+    pairs = matching.term_pairs(a.select(F.col("i").alias("query_id"), F.col("s").alias("source")), terms)
+    found = {(r.query_id, r.cand_id) for r in pairs.collect()}
+    assert want <= found and not any(not short[i] for i, _ in found)
+    for df in (got, pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vector_search_takes_ties_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(9)] + [(9, None)], "k long, v array<double>")
+    asked = df.filter("k IN (1, 9)").withColumnRenamed("k", "q")
+    got = [(r.q, r.k, r.score, r["rank"]) for r in retrieval.vector_search(df, asked, "k", "q", "v", 5, block=1, chunk=2).collect()]
+    assert sorted(got) == [(1, 0, 1.0, 5), (1, 1, 2.0, 1), (1, 3, 2.0, 2), (1, 5, 2.0, 3), (1, 7, 2.0, 4)]
+    assert not retrieval.vector_search(df, asked.limit(0), "k", "q", "v", 5).collect() and not retrieval.vector_search(df.limit(0), asked, "k", "q", "v", 5).collect()
+
+
+def test_negatives_are_unique_by_id_and_text_and_filled(spark):
+    catalog = [(f"c{i}", f"text {i % 20}") for i in range(40)] + [("blank", " "), ("none", None)]
+    texts = dict(catalog)
+    ranked = [("q", f"c{i}", i + 1) for i in range(12)] + [("q", "blank", 13), ("q", "c20", 14)] + [("r", "c5", 1)]
+    gold = [("q", "c0"), ("q", "c3"), ("r", "c5")]
+    args = [spark.createDataFrame(ranked, "q string, c string, rank int"), spark.createDataFrame(gold, "q string, c string"), spark.createDataFrame([("q", "c0"), ("r", "c5"), ("lone", "c1")], "q string, c string"), spark.createDataFrame(catalog, "c string, t string")]
+    positives = {"q": "c0", "r": "c5", "lone": "c1"}
+    out = negatives.select_negatives(*args, "q", "c", "t", 2, 6, 15, "s")
+    rows = out.collect()
+    for q, p in positives.items():
+        own = sorted((r for r in rows if r.q == q), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, 16)) and len({r.t for r in own}) == 15 and texts[p] not in {r.t for r in own}
+        assert not {r.c for r in own} & {c for x, c in gold if x == q}
+        assert [r.source for r in own] == sorted((r.source for r in own), key=["band", "top", "fill"].index)
+    by = {r.q: tuple(r)[1:] for r in negatives.negative_counts(out, args[2], "q", 15).collect()}
+    assert by == {"q": (4, 6, 5, True, False), "r": (0, 0, 15, True, False), "lone": (0, 0, 15, True, False)}
+    all_of = negatives.select_negatives(*args, "q", "c", "t", 2, 6, 99, "s").groupBy("q").count()
+    assert {r.q: r["count"] for r in all_of.collect()} == {"q": 19, "r": 19, "lone": 19}
+    assert negatives.select_negatives(args[0], args[1], args[2], args[3].limit(0), "q", "c", "t", 2, 6, 3, "s").count() == 0
+    assert [negatives.band_of_epoch(e, [(1, 5), (6, 9)], (2, 3)) for e in (-1, 0, 1, 7)] == [(1, 5), (1, 5), (6, 9), (6, 9)] and negatives.band_of_epoch(0, [], (2, 3)) == (2, 3)
+
+
+def test_imported_lists_are_checked(spark):
+    schema = "query_id string, is_evaluable string, data_element string, top20_public_ids string, top20_scores string"
+    rows = spark.createDataFrame([("0", "True", "age", "7, 8,9", "0.9,0.8, 0.7"), ("1", "False", "sex", "7", "1"), ("2", "true", "site", None, None)], schema)
+    split = spark.createDataFrame([("a", 0, "age"), ("c", 2, "site")], "query_id string, original_query_id int, data_element string")
+    catalog = spark.createDataFrame([("7", "2.0"), ("7", "10.0"), ("9", "1")], "cde_publicid string, cde_version string")
+    got = tables.listed_candidates(rows, split, catalog, 3).collect()
+    assert sorted(map(tuple, got)) == [("a", "7::10.0", 1, 0.9), ("a", "9::1", 3, 0.7)]
+    with pytest.raises(ValueError, match="no imported row"):
+        tables.listed_candidates(rows, split.unionAll(spark.createDataFrame([("b", 1, "sex")], split.schema)), catalog, 3)
+    for odd in [("0", "True", "age", "7,8", "1"), ("0", "True", "weight", "7", "1")]:
+        with pytest.raises(ValueError, match="row 0"):
+            tables.listed_candidates(spark.createDataFrame([odd], schema), split, catalog, 3, complete=False)
+
+
+def test_pinned_copies_never_overwrite(tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.bin").write_bytes(b"one")
+    pins = {"x": ("a.bin", hashlib.sha256(b"one").hexdigest())}
+    assert tables.pinned_copies(source, target, pins, dry_run=True) == {"x": "copied"} and not target.exists()
+    assert tables.pinned_copies(source, target, pins) == {"x": "copied"} and (target / "x.parquet").read_bytes() == b"one"
+    assert tables.pinned_copies(source, target, pins) == {"x": "kept"}
+    (target / "x.parquet").write_bytes(b"two")
+    with pytest.raises(ValueError, match="another file"):
+        tables.pinned_copies(source, target, pins)
+    with pytest.raises(ValueError, match="differs"):
+        tables.pinned_copies(source, target, {"x": ("a.bin", "0" * 64)})
+
+
+def test_catalogs_come_from_archives(spark, tmp_path):
+    record = "<L><DataElement><PUBLICID>{}</PUBLICID><VERSION>1</VERSION><LONGNAME>n</LONGNAME></DataElement></L>"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.xml", record.format(1))
+        z.writestr("two.XML", record.format(2))
+        z.writestr("read.me", "no")
+    found = catalog_xml.read_catalog(spark, catalog_xml.unpacked(str(tmp_path / "a.zip"), str(tmp_path / "out")))
+    assert {r.cde_publicid for r in found["master"].collect()} == {"1", "2"}
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("x/one.xml", "")
+        z.writestr("y/one.xml", "")
+    with pytest.raises(ValueError, match="twice"):
+        catalog_xml.unpacked(str(tmp_path / "b.zip"), str(tmp_path / "out2"))
+
+
+def test_checks_of_empty_exports(spark):
+    none = spark.createDataFrame([], "a array<string>, b array<string>")
+    row = profile.pair_overlap(none, "a", "b").first()
+    assert row.n_pairs == 0 and row.strict_subset_rate is None
+    pairs = spark.createDataFrame([(["A", "b"], ["a", "B", "c"]), (["x."], ["x"]), (None, ["x"]), (["x"], [])], none.schema)
+    row = profile.pair_overlap(pairs, "a", "b").first()
+    assert (row.both_present_n, row.query_absent_cde_present_n, row.exact_item_match_n, row.normalized_item_match_n, row.strict_subset_n, row.subset_or_equal_rate) == (2, 1, 0, 1, 1, 1.0)
+    odd = spark.createDataFrame([(None, float("nan"))], "x string, y double")
+    assert [tuple(r) for r in pool.missing_summary(odd, ["x", "y"]).collect()] == [("x", 1, 1.0), ("y", 1, 1.0)]

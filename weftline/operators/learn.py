@@ -43,6 +43,23 @@ def rank_and_measure(scored: DataFrame, query: str, cand: str, label: str, score
     return metrics.ranking_metrics(scored.select(query).distinct(), hits, query)
 
 
+def allowance_sweep(df: DataFrame, query: str, cand: str, label: str, evidence: Sequence[str], scored: Callable[[DataFrame], DataFrame], rates: Sequence[float], seed: str | int) -> DataFrame:
+    """Metrics of one fixed scorer at each rate of allowed evidence, a row a rate.
+
+    At a rate, the evidence columns of gold rows are null for the queries that the mask doesn't let through, so what a
+    smaller rate allows, a larger one does. scored adds a column score to the rows of all rates at once.
+    """
+    from weftline.functions.ids import hash_share
+
+    share, rate = hash_share(F.col(query), seed), F.col("rate")
+    keep = ~F.col(label) | (rate >= 1) | ((rate > 0) & (share < rate))
+    rows = df.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
+    rows = scored(rows.withColumns({c: F.when(keep, F.col(c)) for c in evidence}))
+    ranked = ranking.canonical_rank(rows, ["rate", query], cand, "score", out="_rank", check=False)
+    hits = ranked.groupBy("rate", query).agg(F.min(F.when(F.col(label), F.col("_rank"))).alias("hit"))
+    return hits.groupBy("rate").agg(*metrics.metric_columns(F.col("hit")))
+
+
 def grid_search(train: DataFrame, tune: DataFrame, features: Sequence[str], query: str, cand: str, label: str, grid: Sequence[dict]) -> tuple[dict, GBTClassificationModel, list[dict]]:
     """(best setting, its model, all results) by recall at 5, then reciprocal rank; of equals the first."""
     results, best = [], None

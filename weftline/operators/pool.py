@@ -118,3 +118,12 @@ def audit(df: DataFrame, query: str, cand: str, label_col: str) -> DataFrame:
     each = df.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.bool_or(label_col).alias("any"))
     keys = df.groupBy(query, cand).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
     return each.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("queries"), F.count_if(~F.col("any")).alias("without_positive")).crossJoin(keys)  # one row each
+
+
+def missing_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, missing, share): null or NaN values of each column, in one pass over df."""
+    kinds = dict(df.dtypes)
+    gone = {c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in columns}
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(g).alias(f"_m{i}") for i, g in enumerate(gone.values())])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("missing")) for i, c in enumerate(columns)])).alias("x")
+    return one.select("_n", cells).select("x.column", "x.missing", F.try_divide(F.col("x.missing"), F.col("_n")).alias("share"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import text as T
+
 
 def counts_by(df: DataFrame, by: Sequence[str], distinct: dict[str, str]) -> DataFrame:
     """Rows and distinct values of columns (name -> column) by group."""
@@ -111,3 +113,47 @@ def explode_lists(df: DataFrame, key: str, ids: str, scores: str, depth: int) ->
     """List columns to (key, rank, cand, score), the first depth entries."""
     rows = df.select(key, F.posexplode(F.slice(F.arrays_zip(F.col(ids).alias("cand"), F.col(scores).alias("score")), 1, depth)).alias("at", "r"))
     return rows.select(key, (F.col("at") + 1).alias("rank"), "r.cand", "r.score")
+
+
+def pair_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row over value lists a and b of pairs: how many pairs have both and only b, and of those with both, counts and shares of equal and of equally normalised lists in order, of equal sets, of subsets and of shorter a, and mean overlap.
+
+    Null and empty lists are absent; shares are null where no pair has both.
+    """
+    x, y = F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(b), F.array().cast("array<string>"))
+    norm = {"x": F.transform(x, T.normalize_value), "y": F.transform(y, T.normalize_value)}
+    rows = df.select(x.alias("a"), y.alias("b"), norm["x"].alias("x"), norm["y"].alias("y"))
+    both = (F.size("a") > 0) & (F.size("b") > 0)
+    shared = F.size(F.array_intersect("x", "y"))
+    nx, ny = F.size(F.array_distinct("x")), F.size(F.array_distinct("y"))
+    flags = {
+        "exact_block_match": F.col("a") == F.col("b"), "normalized_block_match": F.col("x") == F.col("y"),
+        "exact_item_match": F.array_sort(F.array_distinct("a")) == F.array_sort(F.array_distinct("b")), "normalized_item_match": (shared == nx) & (shared == ny),
+        "strict_subset": (shared == nx) & (nx < ny), "subset_or_equal": shared == nx, "query_shorter_than_cde": nx < ny,
+    }
+    n = F.count_if(both)
+    out = [F.count(F.lit(1)).alias("n_pairs"), n.alias("both_present_n"), F.count_if((F.size("a") == 0) & (F.size("b") > 0)).alias("query_absent_cde_present_n")]
+    for name, f in flags.items():
+        out += [F.count_if(both & f).alias(f"{name}_n"), F.try_divide(F.count_if(both & f), n).alias(f"{name}_rate")]
+    return rows.agg(*out, F.avg(F.when(both, shared)).alias("overlap_mean"), F.avg(F.when(both, shared / (nx + ny - shared))).alias("item_jaccard_mean"))
+
+
+def integrity(df: DataFrame, query: str, pair: str, cand: str, own: str, master: DataFrame, master_key: str, master_value: str) -> DataFrame:
+    """One row of checks of an export against the catalog master (unique by master_key): rows, different, repeated and missing ids, rows whose catalog row is there, and how many of their values own equal the catalog's, of all rows and of those where both are there.
+
+    Blank values are missing. A repeat is each row of an id but one.
+    """
+    def there(c: str):
+        return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+
+    held = master.select(F.col(master_key).alias("_k"), F.col(master_value).alias("_m"), F.lit(True).alias("_found"))
+    rows = df.join(held, F.col(cand) == F.col("_k"), "left")
+    found, mine, theirs = F.col("_found").isNotNull(), there(own), there("_m")
+    same = mine & theirs & (F.col(own) == F.col("_m"))
+    n = F.count(F.lit(1))
+    out = [n.alias("n_rows")]
+    for name, c in (("query_id", query), ("pair_id", pair)):
+        out += [F.count_distinct(F.when(there(c), F.col(c))).alias(f"n_unique_{name}"), (F.count_if(there(c)) - F.count_distinct(F.when(there(c), F.col(c)))).alias(f"duplicate_{name}_n"), F.count_if(~there(c)).alias(f"missing_{name}_n")]
+    out += [F.count_if(~there(cand)).alias("missing_cde_id_n"), F.count_if(found).alias("cde_master_row_found_n"), F.try_divide(F.count_if(found), n).alias("cde_master_row_found_rate"), F.count_if(mine).alias("pair_cde_present_n"), F.count_if(theirs).alias("master_cde_present_n")]
+    out += [F.count_if(same).alias("pair_cde_matches_master_n"), F.try_divide(F.count_if(same), n).alias("matches_rate_all_rows"), F.try_divide(F.count_if(same), F.count_if(mine & theirs)).alias("matches_rate_comparable")]
+    return rows.agg(*out, F.count_if(~mine & theirs).alias("pair_cde_missing_master_present_n"), F.count_if(mine & ~theirs).alias("pair_cde_present_master_missing_n"))

@@ -156,12 +156,12 @@ def containment_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def containments(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, doc_text: str) -> DataFrame:
     """(query, key, contained, containing) of every pair whose texts contain one another but aren't equal; see containment_scores."""
-    from weftline.operators.matching import GRAM, term_pairs
+    from weftline.operators.matching import GRAM, grams_up_to, term_pairs
 
     asked = queries.select(F.col(query).alias("_q"), T.exact_key(F.col(query_text), nfkc=False).alias("source")).filter("source <> ''")
     terms = docs.select(F.col(key).alias("_k"), T.exact_key(F.col(doc_text), nfkc=False).alias("term")).filter("term <> ''")
     brief = terms.filter(F.length("term") < GRAM).select("term").distinct()  # term_pairs has those only as the longer side
-    texts = asked.select("source").distinct().join(brief, F.contains("source", "term"))
+    texts = asked.select("source").distinct().select("source", F.explode(grams_up_to(F.col("source"), GRAM - 1)).alias("term")).join(brief, "term")
     short = asked.join(texts, "source").join(terms, "term")
     columns = ["_q", "_k", "source", "term"]
     pairs = term_pairs(asked, terms).select(columns).unionAll(short.select(columns)).distinct()
@@ -179,40 +179,66 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(corpus: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """(query, key, score, rank): exact inner products of a query set against all rows, in blocks of block queries.
+def _in_blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
+    """(id, v) rows in blocks of at most size from one partition: their ids and vectors as bytes, and a name of the block."""
+    import numpy as np
+
+    def pack(batches):
+        import pyarrow as pa
+
+        ids, vectors, held = [], [], 0
+
+        def block():
+            x = np.concatenate(vectors)
+            return pa.RecordBatch.from_pydict({f"{prefix}_ids": [np.concatenate(ids).tobytes()], f"{prefix}_vectors": [x.tobytes()], f"{prefix}_n": pa.array([len(x)], pa.int32())})
+
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                if held and held + part.num_rows > size:
+                    yield block()
+                    ids, vectors, held = [], [], 0
+                ids.append(np.asarray(part.column(0)))
+                vectors.append(np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1))
+                held += part.num_rows
+        if held:
+            yield block()
+
+    return df.mapInArrow(pack, f"{prefix}_ids binary, {prefix}_vectors binary, {prefix}_n int")
+
+
+def vector_search(corpus: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, block: int = 4096, chunk: int = 32768) -> DataFrame:
+    """(query, key, score, rank): exact inner products of a query set against all rows, in blocks of both.
 
-    Each task keeps every query's k best of its rows, so what is shuffled is k rows a query and task.
+    Blocks of at most block queries meet chunks of at most chunk rows in tasks; neither passes the driver or is broadcast
+    whole. A pair of them gives the block's k best rows of the chunk, so what is shuffled after is k rows a query and
+    chunk. Null vectors take no part; all others must be of one length without null components. Ties go to the smaller key.
     """
     import numpy as np
 
-    rows = corpus.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    asked = queries.select(F.col(query).cast("long").alias("q"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    found = None
-    for n in range(blocks):
-        part = asked.filter(F.col("_b") == n).select("q", "v").toArrow()
-        names = np.asarray(part.column(0).combine_chunks())
-        sent = corpus.sparkSession.sparkContext.broadcast((names, np.array(part.column(1).to_pylist()).reshape(len(names), -1)))
-
-        def search(batches, sent=sent):
-            import pyarrow as pa
-
-            q, x = sent.value
-            score, who = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
-            for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                y = np.array(b.column(1).to_pylist())
-                score = np.hstack([score, np.round(x @ y.T, 9)])
-                who = np.hstack([who, np.broadcast_to(np.asarray(b.column(0)), (len(q), b.num_rows))])
-                keep = np.lexsort((who, -score), axis=1)[:, :k]
-                score, who = np.take_along_axis(score, keep, 1), np.take_along_axis(who, keep, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, score.shape[1]).astype(np.int64)), pa.array(who.ravel().astype(np.int64)), pa.array(score.ravel())], names=["q", "k", "score"])
-
-        mine = rows.mapInArrow(search, "q long, k long, score double")
-        found = mine if found is None else found.unionAll(mine)
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+
+    asked = rows(queries, query)
+    count = max(1, -(-asked.count() // block))
+    asked = _in_blocks(asked.repartition(count, "id"), block, "q").repartition(count)
+    held = _in_blocks(rows(corpus, key), chunk, "k")
+
+    def search(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                q_ids, q_vectors, q_n, k_ids, k_vectors, k_n = (c[i].as_py() for c in b.columns)
+                who, q = np.frombuffer(k_ids, np.int64), np.frombuffer(q_ids, np.int64)
+                x, y = np.frombuffer(q_vectors).reshape(q_n, -1), np.frombuffer(k_vectors).reshape(k_n, -1)
+                for at in range(0, q_n, 256):  # the scores of 256 queries at a time
+                    score = np.round(x[at : at + 256] @ y.T, 9)
+                    keep = np.lexsort((np.broadcast_to(who, score.shape), -score), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[at : at + 256], keep.shape[1])), pa.array(who[keep].ravel()), pa.array(np.take_along_axis(score, keep, 1).ravel())], names=["q", "k", "score"])
+
+    pairs = asked.hint("shuffle_replicate_nl").crossJoin(held)  # a stated query set in blocks against all rows in chunks
+    found = pairs.mapInArrow(search, "q long, k long, score double")
     return top_ranked(found.select(F.col("q").alias(query), F.col("k").alias(key), "score"), query, key, k)
 
 

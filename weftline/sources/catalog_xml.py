@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -44,8 +49,27 @@ def concepts_json(items: Column) -> Column:
     return F.when(F.size(some) > 0, F.to_json(some))
 
 
+def unpacked(archive: str, folder: str) -> str:
+    """The XML files of a zip archive, side by side in folder, which the executors must share: a folder for read_catalog.
+
+    Driver-side; members are streamed. A file gets its name once it is whole; names that repeat in the archive are an error.
+    """
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(archive) as z:
+        members = {m: Path(m).name for m in z.namelist() if m.lower().endswith(".xml")}
+        if not members or len(set(members.values())) < len(members):
+            raise ValueError(f"{archive} has no XML file, or one name twice")
+        for member, name in members.items():
+            own = out / f".{name}.{uuid.uuid4().hex}"
+            with z.open(member) as a, own.open("wb") as b:
+                shutil.copyfileobj(a, b)
+            own.rename(out / name)
+    return folder
+
+
 def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The seven tables of an export: a file, a folder or a pattern of XML files.
+    """The seven tables of an export: a file, a folder or a pattern of XML files; see unpacked for a zip archive.
 
     Records without public id or version are skipped. Each table has the id, the version and the file; values are
     strings. Lists are exploded once; nothing is collected.

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import shutil
+import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,3 +140,64 @@ def first_of_splits(frames: Sequence[DataFrame], query: str, gold: str) -> DataF
         out = out.unionByName(more, allowMissingColumns=True)
     w = Window.partitionBy(query).orderBy(gold)
     return out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def listed_candidates(rows: DataFrame, split: DataFrame, catalog: DataFrame, depth: int, original: str = "query_id", split_original: str = "original_query_id", element: str = "data_element", complete: bool = True) -> DataFrame:
+    """(query_id, cde_id, rank, score) of an imported table of comma lists, depth candidates a row.
+
+    rows: original, is_evaluable, element, top20_public_ids, top20_scores; split: query_id, split_original, element;
+    catalog: cde_publicid, cde_version. Rows that aren't evaluable or not in the split leave; public ids get the catalog's
+    highest version, unknown ones leave and their rank stays free. Errors: lists of unequal length, an element that differs
+    from the split's, and, with complete, a split row without an imported one.
+    """
+    from weftline.functions.ids import version_key
+
+    def cells(c: str):
+        return F.filter(F.transform(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+    kept = rows.filter(F.lower(F.trim(F.col("is_evaluable").cast("string"))) == "true")
+    kept = kept.select(F.col(original).cast("bigint").alias("_o"), F.trim(element).alias("_e"), cells("top20_public_ids").alias("ids"), cells("top20_scores").alias("scores"))
+    wanted = split.select(F.col(split_original).cast("bigint").alias("_o"), F.col("query_id").cast("string").alias("query_id"), F.col(element).alias("_want"))
+    if complete and (lost := wanted.join(kept, "_o", "left_anti").limit(5).collect()):
+        raise ValueError(f"no imported row for {sorted(r['_o'] for r in lost)} and perhaps others")
+    both = kept.join(wanted, "_o")
+    odd = both.filter((F.size("ids") != F.size("scores")) | ((F.col("_e") != "") & (F.col("_e") != F.col("_want")))).limit(1).collect()
+    if odd:
+        raise ValueError(f"row {odd[0]['_o']}: lists of unequal length, or another element than the split's")
+    best = catalog.groupBy(F.col("cde_publicid").cast("string").alias("public_id")).agg(F.max_by("cde_version", F.struct(version_key(F.col("cde_version")), "cde_version")).alias("_v"))
+    long = both.select("query_id", F.posexplode(F.slice(F.arrays_zip("ids", "scores"), 1, depth)).alias("_i", "_x"))
+    long = long.select("query_id", F.col("_x.ids").alias("public_id"), (F.col("_i") + 1).alias("rank"), F.col("_x.scores").cast("double").alias("score"))
+    return long.join(best, "public_id").select("query_id", F.concat_ws("::", "public_id", "_v").alias("cde_id"), "rank", "score")
+
+
+def _digest(path: Path) -> str:
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def pinned_copies(source: str, target: str, pins: dict[str, tuple[str, str]], dry_run: bool = False) -> dict[str, str]:
+    """Copy files under names of their own: pins holds name -> (file in source, its SHA-256). Returns name -> copied or kept.
+
+    Driver-side, for small frozen inputs. A file that differs from its digest is an error, and so is a different file
+    under the target's name: nothing is overwritten. A copy gets its name once it is whole and checked.
+    """
+    done = {}
+    for name, (file, digest) in pins.items():
+        at, to = Path(source, file), Path(target, f"{name}.parquet")
+        if not at.is_file() or _digest(at) != digest:
+            raise ValueError(f"{at} is missing or differs from its digest")
+        if to.exists():
+            if _digest(to) != digest:
+                raise ValueError(f"{to} is another file; move it aside first")
+            done[name] = "kept"
+            continue
+        done[name] = "copied"
+        if not dry_run:
+            to.parent.mkdir(parents=True, exist_ok=True)
+            own = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+            shutil.copyfile(at, own)
+            if _digest(own) != digest:
+                own.unlink()
+                raise ValueError(f"the copy of {at} differs")
+            own.rename(to)
+    return done
