@@ -6,7 +6,7 @@ import json
 import os
 from array import array
 
-_RUN = 1 << 22
+_RUN = 1 << 21
 _LOADED: dict[str, Encoder] = {}
 #: A blank before white space or the end, where a text can't simply be split at blanks (RE2; white space as fixed values).
 _ODD_SPACE = r" (?:[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
