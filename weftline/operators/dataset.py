@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,12 +135,15 @@ def majority_stratum(df: DataFrame, query: str, source: str, family: str) -> Dat
 
 
 def stratified_split(df: DataFrame, name: str, strata: Sequence[str], train: float, val: float, seed: str) -> DataFrame:
-    """split: in each stratum, in seeded hash order, the first floor(n * train) names train, the next floor(n * val) val, the rest test."""
+    """split: in each stratum, in seeded hash order, the first floor(n * train) names train, the next floor(n * val) val, the rest test.
+
+    The shares count as the decimals they are written as: as doubles, 10 * 0.7 may fall short of 7.
+    """
     by = Window.partitionBy(*strata)
     order = by.orderBy(F.sha1(F.concat_ws("|", F.lit(seed), F.col(name).cast("string"))), name)
     n, at = F.count(F.lit(1)).over(by), F.row_number().over(order)
-    first = F.floor(n * train)
-    return df.withColumn("split", F.when(at <= first, "train").when(at <= first + F.floor(n * val), "val").otherwise("test"))
+    first, then = (F.floor(n.cast("decimal(19,0)") * F.lit(Decimal(str(share)))) for share in (train, val))
+    return df.withColumn("split", F.when(at <= first, "train").when(at <= first + then, "val").otherwise("test"))
 
 
 def seeded_order(name: str, seed: str) -> Column:
