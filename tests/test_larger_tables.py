@@ -32,3 +32,9 @@ def test_shares_of_a_split_are_decimals(spark, agree):
     agree("m32_stratified_split", orders=rows)
     split = dataset.stratified_split(spark.range(100), "id", [], 0.29, 0.57, "s").groupBy("split").count()
     assert {r.split: r["count"] for r in split.collect()} == {"train": 29, "val": 57, "test": 14}
+
+
+def test_exact_control_at_once(spark, agree):
+    suppliers = spark.range(60).select(F.col("id").alias("s_suppkey"))
+    parts = spark.range(200).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 25).alias("p_brand"), F.when(F.col("id") % 7 > 0, F.col("id") % 50).cast("int").alias("p_size"))
+    assert agree("f14_f15_exact_control", supplier=suppliers, part=parts)
