@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import dataset
+from weftline.operators import dataset, retrieval
 from weftline.plans import ORACLE_SQL, QUERIES
 
 
@@ -38,3 +38,28 @@ def test_exact_control_at_once(spark, agree):
     suppliers = spark.range(60).select(F.col("id").alias("s_suppkey"))
     parts = spark.range(200).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 25).alias("p_brand"), F.when(F.col("id") % 7 > 0, F.col("id") % 50).cast("int").alias("p_size"))
     assert agree("f14_f15_exact_control", supplier=suppliers, part=parts)
+
+
+def _catalog(spark, copies=40):
+    """Ten parts and a supplier each, so often; parts of one name differ in brand."""
+    rows = [(i, ["red bolt", "large red ring", "hot plate", "old bolt", "blue ring"][i % 5], f"Brand#{i % 10 // 5 + 3}", ["SMALL", "LARGE"][i % 2], i % 10 // 3) for i in range(10 * copies)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    return part, spark.createDataFrame([(i, i % 4) for i in range(10 * copies)], "s_suppkey long, s_nationkey int")
+
+
+def _scored(monkeypatch):
+    """The numbers of texts that are scored on both sides."""
+    seen, scores = [], retrieval.posting_scores
+
+    def count(index, queries, query, key, weight=None):
+        seen.append((queries.select(query).distinct().count(), index.select(key).distinct().count()))
+        return scores(index, queries, query, key, weight)
+
+    monkeypatch.setattr(retrieval, "posting_scores", count)
+    return seen
+
+
+def test_copies_are_scored_once_by_words(spark, agree, monkeypatch):
+    seen, (part, supplier) = _scored(monkeypatch), _catalog(spark)
+    assert len(agree("m6_m7_word_gram_tfidf", part=part, supplier=supplier)) == 5 * 400
+    assert seen == [(20, 10)]
