@@ -82,3 +82,15 @@ def test_copies_are_matched_once(spark, agree, monkeypatch, name):
     monkeypatch.setattr(matching, "term_pairs", count)
     assert agree(name, part=part, supplier=supplier)
     assert seen[0][0] <= 60 and seen[0][1] <= 3 * 20  # of 120 queries and 3 * 120 terms
+
+
+def test_copies_contain_one_another_once(spark, agree, monkeypatch):
+    seen, scores, (part, supplier) = [], retrieval.containment_scores, _catalog(spark, 12)
+
+    def count(pairs, a, b):
+        seen.append(pairs.count())
+        return scores(pairs, a, b)
+
+    monkeypatch.setattr(retrieval, "containment_scores", count)
+    rows = agree("m8_whole_containment", part=part, supplier=supplier)
+    assert len(rows) > 2000 and seen[0] <= 5 * 10  # pairs of different texts
