@@ -71,7 +71,7 @@ def test_copies_are_scored_once_by_characters(spark, agree, monkeypatch):
     assert seen == [(20, 10)]
 
 
-@pytest.mark.parametrize("name", ["m12_m17_match_with_fallback", "m13_m14_cascade", "m16_merge_tiers"])
+@pytest.mark.parametrize("name", ["m11_rule_hits", "m12_m17_match_with_fallback", "m13_m14_cascade", "m16_merge_tiers"])
 def test_copies_are_matched_once(spark, agree, monkeypatch, name):
     seen, pairs, (part, supplier) = [], matching.term_pairs, _catalog(spark, 12)
 
