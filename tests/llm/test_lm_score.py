@@ -111,3 +111,21 @@ def test_texts_learned_twice_are_told_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.score for r in score_texts(df, df["doc_id"] >= 0).collect()}
     assert min(got[i] for i in range(40)) > max(got[i] for i in range(40, 200))
+
+
+def test_grams_are_sent_in_rounds(spark, monkeypatch):
+    from weftline.llm import lm_score
+
+    sent, answer = [], lm_score._answer
+
+    def count(asked):
+        sent.append(sum(len(r["keys"]) for r in asked.collect()))
+        return answer(asked)
+
+    monkeypatch.setattr(lm_score, "_answer", count)
+    texts = [" ".join(f"w{i * j % 97}" for j in range(60)) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = Plain(texts)
+    got = {r.doc_id: r.score for r in score_texts(df, df, block=2000, shard=500).collect()}
+    assert all(got[i] == pytest.approx(plain.score(t), rel=1e-9) for i, t in enumerate(texts[:20]))
+    assert max(sent) < 0.6 * sum(sent)  # the disk never holds all of them

@@ -18,6 +18,8 @@ START, END = (np.uint64(int.from_bytes(x, "big")) for x in (b"\x01 start\x01", b
 ORDER, STRENGTH = 3, 64.0
 #: Tokens of a block of texts; grams of a shard of the model; tokens that one lane of a traversal takes.
 _BLOCK, _SHARD, _LANE = 3 << 19, 1 << 23, 1 << 10
+#: Parts of the model that are counted one after the other; the grams on their way to the shards are of one part only.
+_ROUNDS = 2
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -98,9 +100,12 @@ def write_blocks(rows: DataFrame, folder: str, block: int) -> DataFrame:
 
 
 class Block:
-    """The grams of a run of texts: of each order the distinct ones, and which of them ends at each token."""
+    """The grams of a run of texts: of each order the distinct ones, and which of them ends at each token.
 
-    def __init__(self, path: str, sizes: np.ndarray, order: int):
+    With span, only the grams of more than a word whose hashes lie in it, both ends included.
+    """
+
+    def __init__(self, path: str, sizes: np.ndarray, order: int, span: tuple[int, int] | None = None):
         system, path = open_shared(path)
         with system.open_input_stream(path) as f:
             data = f.read()
@@ -116,6 +121,8 @@ class Block:
         for k in range(2, order + 1):
             ends = np.flatnonzero(within >= k - 1).astype(np.int32)
             h = np.concatenate([h[:1], combine(h[:-1], tokens[1:])])
+            if span is not None:
+                ends = ends[(h[ends] >= np.uint64(span[0])) & (h[ends] <= np.uint64(span[1]))]
             gram, place = np.unique(h[ends], return_inverse=True)
             self.grams.append(gram)
             self.ends.append(ends)
@@ -222,25 +229,27 @@ class Automaton:
         return np.bincount(text[by_size], total, len(texts))
 
 
-def _ask(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """(shard, block, ask, keys, counts): of each block the sorted grams of a shard, with 2 * count + (whether it is a word)."""
+def _ask(blocks: DataFrame, order: int, bits: int, first: int, last: int) -> DataFrame:
+    """(shard, block, ask, keys, counts): of each block the sorted grams of a shard, from first up to before last, with 2 * count + (whether it is a word)."""
+    edges = [shard << (64 - bits) for shard in range(first, last + 1)]
 
     def work(batches):
         import pyarrow as pa
 
         for b in batches:
             for r in b.to_pylist():
-                block = Block(r["file"], np.array(r["sizes"]), order)
+                block = Block(r["file"], np.array(r["sizes"]), order, (edges[0], edges[-1] - 1))
                 keys, by_key = block.keys()
                 counts = 2 * block.counts(np.array(r["learn"], bool)) + (np.arange(len(keys)) < len(block.words))
                 keys, counts = keys[by_key], counts[by_key]
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-                cuts, ask, out = [0, *cuts, len(keys)], any(r["scored"]), []
-                for shard, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                cuts = [len(keys) if e >> 64 else int(np.searchsorted(keys, np.uint64(e))) for e in edges]
+                ask, out = any(r["scored"]), []
+                for shard, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False), first):
                     if a < z:
                         out.append((shard, r["block"], ask, _pack_sorted(keys[a:z]), _pack_counts(counts[a:z])))
                 del block, keys, counts, by_key
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["shard", "block", "ask", "keys", "counts"])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["shard", "block", "ask", "keys", "counts"])
                 del out
                 give_back()
 
@@ -292,7 +301,8 @@ def score_texts(df: DataFrame, train: DataFrame | Column, id_col: str = "doc_id"
     Texts are read in blocks of about block tokens. A block's distinct grams with their counts go, sorted, to the shards
     of the model (about shard grams each) by their hash, are summed there over all blocks, and the totals come back; a
     block's automaton is then built of its own grams only, so no task holds more than a shard or a block. No gram is
-    left out, and a common one is a row a block.
+    left out, and a common one is a row a block. The shards are served in rounds, and what was sent in one is deleted
+    before the next, so that the disk holds one round's grams.
 
     A null or empty text has the end alone. Without training texts each token has probability 1 in both. Rows that repeat
     an id are scored each; null ids stay null. Whole texts count, however long; a text longer than a block is one of its
@@ -313,10 +323,14 @@ def score_texts(df: DataFrame, train: DataFrame | Column, id_col: str = "doc_id"
     learned = F.aggregate(F.zip_with("sizes", "learn", lambda n, use: F.when(use, n - 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
     total, held, tokens = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(learned), F.lit(0))).first()
     bits = max(0, (order * held // shard).bit_length())
-    asked = _ask(blocks.repartition(max(total, 1)), order, bits).repartition(1 << bits, "shard").sortWithinPartitions("shard", "block")
-    answers = scratch.table(_answer(asked), "answers")
-    del asked
-    scratch.release()
+    edges = sorted({(1 << bits) * i // _ROUNDS for i in range(_ROUNDS + 1)})
+    answers = None
+    for first, last in zip(edges, edges[1:], strict=False):
+        asked = _ask(blocks.repartition(max(total, 1)), order, bits, first, last).repartition(last - first, "shard").sortWithinPartitions("shard", "block")
+        part = scratch.table(_answer(asked), f"answers-{first}")
+        del asked
+        scratch.release()  # the grams sent take most of the disk
+        answers = part if answers is None else answers.unionAll(part)
     types = answers.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
 
     def score(batches):
