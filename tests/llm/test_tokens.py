@@ -106,3 +106,20 @@ def test_packed_pieces_carry_the_ids(spark):
     assert pack_documents(frame(spark, ODD).limit(0)).count() == 0
     same = spark.createDataFrame([(None, "a b")] * 5, "doc_id long, text string")
     assert pack_documents(same).count() >= 5
+
+
+def test_packing_writes_few_files(spark, tmp_path):
+    held = {"spark.sql.shuffle.partitions": "160", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        pack_documents(frame(spark, [f"text {i}" for i in range(400)])).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list(tmp_path.glob("out/part-*"))) <= 20
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sum(r.length for r in rows) == sum(map(len, plain([f"text {i}" for i in range(400)])))
+    spots = [(r.sequence_id, r.offset) for r in rows]
+    assert len(set(spots)) == len(spots)  # no two tasks give the same sequence

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import give_back
+from weftline.llm.common import few_files, give_back
 from weftline.llm.token_ids import default_tokenizer, encoder
 
 #: A group of documents that are packed together ends at this many documents or ids, whichever comes first.
@@ -142,7 +142,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.withColumn("_deal", F.xxhash64(F.lit(seed), "_id", F.xxhash64("_text")))
-    rows = rows.repartition("_deal").sortWithinPartitions("_deal", "_id")
+    rows = rows.repartition("_deal").coalesce(few_files(df.sparkSession)).sortWithinPartitions("_deal", "_id")
     return rows.select("_id", "_text").mapInArrow(packed, ", ".join(fields))
 
 
