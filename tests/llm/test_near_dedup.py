@@ -112,3 +112,23 @@ def test_shingles():
     assert len(shingles(h.of(b"a b c d e"), 4)) == 2 and len(shingles(h.of(b"a b"), 4)) == 1 and len(shingles(h.of(None), 4)) == 0
     assert shingles(h.of(b"A\x0bb"), 4).tolist() == shingles(h.of(b" a  B\n"), 4).tolist()
     assert shingles(h.of(b"a b"), 4).tolist() != shingles(h.of(b"b a"), 4).tolist()
+
+
+def test_rounds_of_components_write_few_files(spark):
+    from weftline.llm.common import Scratch
+    from weftline.llm.components import components
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    scratch, written = Scratch(spark, "test"), []
+    table = scratch.table
+    scratch.table = lambda df, name: (written.append(df.rdd.getNumPartitions()), table(df, name))[1]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.range(400).selectExpr("id AS a", "id - id % 4 AS b")
+        assert {(r.node, r.label) for r in components(scratch, links, "x").collect()} == {(i, i - i % 4) for i in range(400) if i % 4}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(written[1:]) <= 8

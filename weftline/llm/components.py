@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, attach_groups
+from weftline.llm.common import Scratch, attach_groups, few_files
 
 
 def _smallest(edges: DataFrame, total: int) -> DataFrame:
@@ -18,7 +18,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(node, label) of every node of links (a, b), label the smallest node that can be reached.
 
     Large-star links a node's larger neighbours to its smallest one, small-star its smaller ones and itself. Rounds go on
-    until a pair of them changes nothing; each is written to the shared folder, and the edges never outgrow links.
+    until a pair of them changes nothing; each is written to the shared folder, in few files, and the edges never outgrow links.
     """
     edges = scratch.table(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     before, n, total = None, 0, edges.count()
@@ -28,7 +28,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         small = _smallest(large, total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         n += 1
-        edges = scratch.table(small, f"{name}-{n}")
+        edges = scratch.table(small.coalesce(few_files(scratch.spark, total)), f"{name}-{n}")
         scratch.drop(f"{name}-{n - 1}")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         total = now[0]
