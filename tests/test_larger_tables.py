@@ -71,6 +71,34 @@ def test_copies_are_scored_once_by_characters(spark, agree, monkeypatch):
     assert seen == [(20, 10)]
 
 
+def test_tokens_of_copies_are_made_once(spark):
+    """And grams that always come together are one token."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(name):
+        made.add(1)
+        return [] if name is None else list(name)
+
+    docs = spark.range(400).select(F.col("id").alias("k"), F.when(F.col("id") % 4 < 3, F.element_at(F.array(F.lit("abc"), F.lit("abcx"), F.lit("")), (F.col("id") % 4 + 1).cast("int"))).alias("name"))
+    asked = docs.withColumnRenamed("k", "q")
+    got = retrieval.tfidf_search(docs, asked, "k", "q", tokens("name"), tokens("name"), 2).collect()
+    assert sorted((r.q, r["rank"], r.k, r.score) for r in got if r.q < 8) == [(q, n, 4 * (n - 1) + q % 4, 1.0) for q in (0, 1, 4, 5) for n in (1, 2)]
+    assert len(got) == 2 * 200 and made.value <= 40  # 800 rows of 8 texts; a plan may make them more than once
+
+
+def test_grams_that_come_together_are_one_token(spark, agree, monkeypatch):
+    seen, scores, (part, supplier) = [], retrieval.posting_scores, _catalog(spark, 2)
+
+    def count(index, queries, query, key, weight=None):
+        seen.append((index.count(), queries.join(index, "token").count()))
+        return scores(index, queries, query, key, weight)
+
+    monkeypatch.setattr(retrieval, "posting_scores", count)
+    agree("m6_m7_char_gram_tfidf", part=part, supplier=supplier)
+    assert seen[0][0] <= 10 * 7 and seen[0][1] <= 20 * 10 * 5  # of 10 texts with more than 30 grams each
+
+
 @pytest.mark.parametrize("name", ["m11_rule_hits", "m12_m17_match_with_fallback", "m13_m14_cascade", "m16_merge_tiers"])
 def test_copies_are_matched_once(spark, agree, monkeypatch, name):
     seen, pairs, (part, supplier) = [], matching.term_pairs, _catalog(spark, 12)
