@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, shrink_executors
 from weftline.llm.exact_dedup import drop_exact
 from weftline.llm.language_id import fit, label_languages
 from weftline.llm.mixing import mixed_documents
@@ -18,11 +18,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without any label all texts with a letter stay. Equal rows are all kept. Other columns stay as they are; an empty
     table stays empty, as in all stages.
     """
+    shrink_executors(spark)
     return label_languages(docs, fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the smallest doc_id, one row of it where it is repeated; null counts as empty text. All columns stay."""
+    shrink_executors(spark)
     return drop_exact(docs)
 
 
@@ -31,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words and rows with a null id are linked with nothing and stay. All columns stay.
     """
+    shrink_executors(spark)
     return drop_near(docs)
 
 
@@ -40,11 +43,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source, a text without words is never taken, and ties of the drawing order go by id. All columns
     stay.
     """
+    shrink_executors(spark)
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences of 1024 ids; a null text counts as empty and gives its end id. Repeated rows are packed each."""
+    shrink_executors(spark)
     return pack_documents(docs)
 
 

@@ -68,3 +68,17 @@ def test_pipeline_takes_empty_tables_and_clashing_names(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         left = corpus_pipeline.run(spark, f"{tmp_path}/{name}").count()
         assert (left > 0) == bool(some)
+
+
+def test_executors_return_their_heap_before_each_stage(spark, tmp_path):
+    fixture(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def full() -> int:  # a local session's executor is this JVM
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName())
+
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() >= before + 2
