@@ -132,3 +132,25 @@ def test_rounds_of_components_write_few_files(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(written[1:]) <= 8
+
+
+def test_tables_of_pairs_are_few_files(spark, monkeypatch):
+    from weftline.llm import near_dedup
+    from weftline.llm.common import Scratch
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    written, table = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (written.update({name: df.rdd.getNumPartitions()}), table(self, df, name))[1])
+    words = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "x"])), (2, " ".join(words)), (3, "alone in here by itself now")]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 0, 2: 0, 3: 3}
+    some = ["groups", "members", "pairs", "stars", "labelled-members", "sizes", "components", "labels-0"]
+    assert all(written[x] <= 8 for x in some), written

@@ -20,7 +20,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     Large-star links a node's larger neighbours to its smallest one, small-star its smaller ones and itself. Rounds go on
     until a pair of them changes nothing; each is written to the shared folder, in few files, and the edges never outgrow links.
     """
-    edges = scratch.table(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    edges = scratch.small(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     before, n, total = None, 0, edges.count()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, attach_groups, give_back, open_shared
+from weftline.llm.common import Scratch, attach_groups, few_files, give_back, open_shared
 from weftline.llm.components import components
 from weftline.llm.word_hashes import WordHashes, combine, scramble
 
@@ -147,7 +147,7 @@ def verify(pairs: DataFrame, reps: DataFrame, percent: int, total: int) -> DataF
             if out:
                 yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
 
-    return pairs.sortWithinPartitions("a_file", "a_at").mapInArrow(work, f"a {kind}, b {kind}")
+    return pairs.coalesce(few_files(pairs.sparkSession)).sortWithinPartitions("a_file", "a_at").mapInArrow(work, f"a {kind}, b {kind}")
 
 
 class _Union:
@@ -296,8 +296,8 @@ def bucket_links(scratch: Scratch, members: DataFrame, percent: int) -> DataFram
 def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with what linked_in_bucket needs, dealt to blocks of about BLOCK; members of a large component have blocks of their own."""
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rows = scratch.table(rows, "labelled-members")
-    sizes = scratch.table(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    rows = scratch.small(rows, "labelled-members")
+    sizes = scratch.small(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
     several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_labels"), F.sum("n").alias("n")).filter("_labels > 1").select("key", "n")
     rows = attach_groups(rows, several, ["key"], "rep", rows.count()).filter("n IS NOT NULL").withColumnRenamed("n", "_all")
     large = sizes.filter(F.col("n") > BLOCK).withColumn("_parts", F.ceil(F.col("n") / BLOCK))
@@ -329,7 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).alias("_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("_text"))
     docs = scratch.table(sketch_documents(texts, scratch.folder("sets"), shingle), "docs")
     groups = docs.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "bands", "marks", "file", "at")).alias("s"))
-    groups = scratch.table(groups.select("digest", "low", "copies", "s.*"), "groups")
+    groups = scratch.small(groups.select("digest", "low", "copies", "s.*"), "groups")
     # an id that several texts share links them; the smallest id names a node only where there is none
     same = docs.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 <> d2").select("id", "d1")
     by_digest = not same.isEmpty()
@@ -340,23 +340,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     multi = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).filter("m > 1")
     nodes = reps.count()
     members = attach_groups(keys, multi.withColumnRenamed("m", "n"), ["key"], "rep", nodes * COORDINATES // BAND)
-    members = scratch.table(members.filter("n IS NOT NULL").drop("n"), "members")
+    members = scratch.small(members.filter("n IS NOT NULL").drop("n"), "members")
     stars = members.filter("rep <> centre").groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a"))
-    stars = verify(scratch.table(stars.select("a", "b"), "pairs"), reps, percent, nodes)
+    stars = verify(scratch.small(stars.select("a", "b"), "pairs"), reps, percent, nodes)
     if by_digest:
         stars = stars.unionAll(docs.filter("n > 0").join(same, "id").select(F.col("d1").alias("a"), F.col("digest").alias("b")).filter("a <> b").distinct())
     stars = scratch.table(stars, "stars")
     rows = _open_buckets(scratch, members.select("key", "band", "rep"), components(scratch, stars, "star-labels"), reps)
-    links = scratch.table(bucket_links(scratch, rows, percent).distinct().unionAll(stars), "links")
+    links = scratch.small(bucket_links(scratch, rows, percent).distinct().unionAll(stars), "links")
     labels = components(scratch, links, "labels")
     groups = groups.select("digest", "low", F.col("rep").alias("node"), F.col("copies").alias("n")).join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("component"), "n")
     if by_digest:
-        groups = scratch.table(groups.withColumnsRenamed({"n": "copies", "digest": "own"}), "labelled")
-        lowest = scratch.table(groups.groupBy(F.col("component").alias("digest")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")), "lowest")
+        groups = scratch.small(groups.withColumnsRenamed({"n": "copies", "digest": "own"}), "labelled")
+        lowest = scratch.small(groups.groupBy(F.col("component").alias("digest")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")), "lowest")
         groups = attach_groups(groups.select("own", "copies", F.col("component").alias("digest"), F.xxhash64("own").alias("_salt")), lowest, ["digest"], "_salt", groups.count()).select(F.col("own").alias("digest"), F.col("least").alias("component"), F.col("copies").alias("n"))
     groups = groups.select("digest", "component", "n")
     rows = docs.select("id", F.col("n").alias("size"), "digest", F.xxhash64("id", "at").alias("_salt"))
-    out = attach_groups(rows, scratch.table(groups, "components"), ["digest"], "_salt", docs.count())
+    out = attach_groups(rows, scratch.small(groups, "components"), ["digest"], "_salt", docs.count())
     scratch.drop("sets", "groups", "members", "stars", "links", "pairs", "labelled", "lowest", "labelled-members", "sizes", "blocks", "within", "block-pairs")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -370,7 +370,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     empty. Columns may have any names.
     """
     out = near_duplicates(df, id_col, text_col, shingle, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    out = Scratch(df.sparkSession, "near").table(out, "gone")
+    out = Scratch(df.sparkSession, "near").small(out, "gone")
     size = out.agg(F.coalesce(F.sum(F.octet_length(F.col("_gone").cast("string")) + 16), F.lit(0))).first()[0]
     out = F.broadcast(out) if size <= MOST_BROADCAST else out  # the texts needn't move then
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
