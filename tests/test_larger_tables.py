@@ -152,5 +152,5 @@ def test_pairs_of_few_rows_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
     part, supplier = _catalog(spark, 20)
     part.write.parquet(f"{tmp_path}/part.parquet")
     supplier.write.parquet(f"{tmp_path}/supplier.parquet")
-    for name in ("f14_f15_exact_control",):
+    for name in ("f14_f15_exact_control", "m8_whole_containment"):
         assert _tasks(spark, lambda name=name: QUERIES[name](spark, str(tmp_path))) > 3  # one before, as its input is small
