@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import dataset, matching, ranking, retrieval
+from weftline.operators import candidates, dataset, matching, ranking, retrieval
 from weftline.plans import ORACLE_SQL, QUERIES
 
 
@@ -154,3 +154,23 @@ def test_pairs_of_few_rows_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
     supplier.write.parquet(f"{tmp_path}/supplier.parquet")
     for name in ("f14_f15_exact_control", "m8_whole_containment"):
         assert _tasks(spark, lambda name=name: QUERIES[name](spark, str(tmp_path))) > 3  # one before, as its input is small
+
+
+@pytest.mark.parametrize("name", ["m7_m10_whole_keyword_features"])
+def test_words_of_very_many_rows_count(spark, agree, name):
+    part, supplier = _catalog(spark, 501)
+    rows = agree(name, part=part, supplier=supplier.filter("s_suppkey in (0, 1, 3)"))
+    if name == "m7_whole_candidates":  # brand is in 5010 rows, a size in over 1000
+        assert {r[5] for r in rows if r[0] == 1 and r[2:5] == ("token", "LONG", 1)} == {1.0}
+
+
+def test_all_words_count_unless_told(spark):
+    asked = spark.createDataFrame([(1, "brand bolt")], "q long, name string")
+    held = spark.range(5002).select(F.col("id").alias("k"), F.concat(F.lit("brand "), F.when(F.col("id") == 7, "bolt").otherwise("ring")).alias("name"))
+
+    def best(**more):
+        found = candidates.generate_candidates(asked, held, "q", "k", "name", ["name"], top_k=2, word_grams=False, containment=False, **more)
+        return sorted((r.k, r.rule_score) for r in found.filter("rule = 'token'").collect())
+
+    assert best() == [(0, round(1 / 3, 9)), (7, 1.0)]
+    assert best(most_df=5000) == [(7, round(1 / 3, 9))]
