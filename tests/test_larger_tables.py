@@ -156,7 +156,7 @@ def test_pairs_of_few_rows_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
         assert _tasks(spark, lambda name=name: QUERIES[name](spark, str(tmp_path))) > 3  # one before, as its input is small
 
 
-@pytest.mark.parametrize("name", ["m7_m10_whole_keyword_features"])
+@pytest.mark.parametrize("name", ["m7_whole_candidates", "m7_m10_whole_keyword_features"])
 def test_words_of_very_many_rows_count(spark, agree, name):
     part, supplier = _catalog(spark, 501)
     rows = agree(name, part=part, supplier=supplier.filter("s_suppkey in (0, 1, 3)"))
