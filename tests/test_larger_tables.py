@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import candidates, dataset, matching, ranking, retrieval
+from weftline.operators import candidates, dataset, matching, metrics, ranking, retrieval
 from weftline.plans import ORACLE_SQL, QUERIES
 
 
@@ -174,3 +174,15 @@ def test_all_words_count_unless_told(spark):
 
     assert best() == [(0, round(1 / 3, 9)), (7, 1.0)]
     assert best(most_df=5000) == [(7, round(1 / 3, 9))]
+
+
+def test_grid_reads_what_it_has_written(spark, agree, monkeypatch):
+    plans, metric, (part, supplier) = [], metrics.ranking_metrics, _catalog(spark, 2)
+
+    def count(queries, hits, *more, **named):
+        plans.append(hits._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return metric(queries, hits, *more, **named)
+
+    monkeypatch.setattr(metrics, "ranking_metrics", count)
+    agree("m4_m5_bm25_grid", part=part, supplier=supplier)
+    assert plans[0] <= 10  # joins that one plan of all would hold, many times over
