@@ -186,3 +186,18 @@ def test_grid_reads_what_it_has_written(spark, agree, monkeypatch):
     monkeypatch.setattr(metrics, "ranking_metrics", count)
     agree("m4_m5_bm25_grid", part=part, supplier=supplier)
     assert plans[0] <= 10  # joins that one plan of all would hold, many times over
+
+
+def test_exact_hits_are_made_of_lists(spark, monkeypatch):
+    seen, pairs = [], ranking.each_pair
+
+    def count(lists, by, a, b, columns=()):
+        seen.append((lists.count(), _tasks(spark, lambda: pairs(lists, by, a, b, columns))))
+        return pairs(lists, by, a, b, columns)
+
+    monkeypatch.setattr(candidates, "each_pair", count, raising=False)
+    part, supplier = _catalog(spark, 12)
+    asked = supplier.select(F.col("s_suppkey").alias("q")).join(part, F.col("p_partkey") == F.col("q")).select("q", "p_name")
+    found = candidates.generate_candidates(asked, part, "q", "p_partkey", "p_name", ["p_name"], top_k=2, word_grams=False, containment=False)
+    assert found.filter("rule = 'exact'").count() == 5 * 24 * 24
+    assert seen[0][0] == 5 and seen[0][1] > 1  # a pair of lists a name, in several tasks
